@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import written
+
 #: Weights of the sources in code-point order (null last), repeating; share of all words that the mix takes.
 WEIGHTS, SHARE = (3, 1, 2), 1.5
 #: A source gives at most so many passes over its documents.
@@ -51,7 +53,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 42,
     Prefix sums run in two levels: a source's documents fall in hash buckets of about BUCKET_ROWS, the sums of buckets
     are added up, and only inside a bucket are rows sorted; so is the virtual time, in BINS a unit. No task holds a source.
     """
-    d = sized(docs, seed, keep)
+    d = written(sized(docs, seed, keep), "sized")
     n, total = d.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     digits = max(0, math.ceil(math.log(max(1, n / BUCKET_ROWS), 16)))
     d = d.withColumn("bucket", F.substring("shuffle", 1, digits)) if digits else d.withColumn("bucket", F.lit(""))
