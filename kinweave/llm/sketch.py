@@ -77,7 +77,7 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFr
     A single row is its own next. Null texts are empty. Repeated rows each have a row of their own.
 
     Only ids are sorted; each text meets its neighbour's ids in one shuffle by row number, and sends its beginning and
-    its sketch in a second.
+    its sketch in a second. Both uses of the first read the same columns, so that Spark runs one exchange for them.
     """
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     keys = numbered(t.select("rid", "doc_id", F.floor(F.length("text") / 2).cast("int").alias("half")), [F.desc_nulls_last("doc_id"), F.col("rid")])
@@ -85,9 +85,9 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFr
     # the row that comes before this one, and how much of this text it takes
     prev = keys.select("rid", ((F.col("g") - 1 + n) % max(n, 1)).alias("g")).join(keys.select("g", F.col("rid").alias("prev"), F.col("half").alias("prev_half")), "g").select("rid", "prev", "prev_half")
     t = t.join(prev, "rid").select("rid", "doc_id", "text", sketch(F.col("text"), words, k).alias("own"), "prev", "prev_half")
-    sent = t.select(F.col("prev").alias("rid"), F.expr("substring(text, 1, prev_half)").alias("start"), F.col("own").alias("next"))
+    sent = t.select(F.col("prev").alias("rid"), F.expr("substring(text, 1, prev_half)").alias("start"), F.col("own").alias("next"), F.col("doc_id").alias("next_doc_id"))
     e = t.select("rid", "doc_id", "text", "own").join(sent, "rid")
     chars = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("start"))
-    e = e.select("doc_id", chars.cast("long").alias("n_chars"), "own", "next", F.struct(F.sha2(edited.cast("binary"), 256).alias("sha"), sketch(edited, words, k).alias("sketch")).alias("edit"))
-    return e.select("doc_id", "n_chars", F.col("edit.sha").alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edit.sketch")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("edit.sketch"), k).alias("near_edited"), resemblance(F.col("own"), F.col("next"), k).alias("near_next"), distinct_count(F.col("own"), k).alias("distinct_shingles"), containment(F.col("edit.sketch"), F.col("own"), k).alias("edited_in_own"))
+    e = e.select("doc_id", "next_doc_id", chars.cast("long").alias("n_chars"), "own", "next", F.struct(F.sha2(edited.cast("binary"), 256).alias("sha"), sketch(edited, words, k).alias("sketch")).alias("edit"))
+    return e.select("doc_id", "n_chars", F.col("edit.sha").alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edit.sketch")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("edit.sketch"), k).alias("near_edited"), resemblance(F.col("own"), F.col("next"), k).alias("near_next"), "next_doc_id", distinct_count(F.col("own"), k).alias("distinct_shingles"), containment(F.col("edit.sketch"), F.col("own"), k).alias("edited_in_own"))
