@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import mixing, sketch, urls
+from kinweave.llm import bpe, mixing, simhash, sketch, urls, warc
 from kinweave.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = simhash.hamming_classes(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,5 +48,5 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict", "bound")
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_url_reputation": op10_url_reputation}
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE, "op10_url_reputation": urls.ORACLE}
+QUERIES = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op6_warc": op6_warc, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_url_reputation": op10_url_reputation}
+ORACLE_SQL = {"op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op10_url_reputation": urls.ORACLE}
