@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,12 +19,17 @@ from tokenizers import Tokenizer
 
 from kinweave.llm.common import written
 
-#: Words at most that every task holds with their ids, and bytes of a word at most there: 64 MB or so.
-HOT_WORDS, HOT_BYTES = 200_000, 64
-#: Distinct words that a task holds while it counts.
-COUNTED = 200_000
+#: Words at most that every task is sent with their ids, and bytes of a word at most there: 32 MB or so.
+HOT_WORDS, HOT_BYTES = 100_000, 64
+#: Distinct words that a task holds besides: while it counts, and of the rare ones while it encodes.
+HELD = 200_000
 #: The split of byte-level BPE vocabularies of this kind into words.
 _words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+#: The same for texts of characters up to U+024F but a few, where the standard library's classes agree; it is faster.
+_latin_words = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""").findall
+_beyond_latin = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+#: Beyond these ranges libraries differ in the version of Unicode, and the tokenizer itself splits.
+_beyond_known = re.compile("[^\x00-\u052f\u1e00-\u206f\u20a0-\u20bf\u2100-\u2bff\u3000-\u30ff\u4e00-\u9ffc\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001faff]").search
 
 
 @functools.lru_cache(2)
@@ -46,14 +53,54 @@ def _pieces(data: str) -> tuple[list[bytes], dict[str, int]]:
     return out, special
 
 
-def _split(text: str, special: dict[str, int]) -> list[str]:
+def _words_of(text: str, data: str) -> list[str]:
+    if not _beyond_latin(text):
+        return _latin_words(text)
+    if not _beyond_known(text):
+        return _words(text)
+    return [text[a:b] for _, (a, b) in _tokenizer(data).pre_tokenizer.pre_tokenize_str(text)]
+
+
+def split(text: str, data: str) -> list[str]:
     """The words of a text in order; special texts stand for themselves."""
-    parts = regex.split("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")", text) if any(s in text for s in special) else [text]
-    return [w for p in parts for w in ([p] if p in special else _words(p))]
+    _, special = _pieces(data)
+    if not any(s in text for s in special):
+        return _words_of(text, data)
+    parts = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text)
+    return [w for p in parts for w in ([p] if p in special else _words_of(p, data))]
+
+
+def _ids(words: list[str], data: str) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in _tokenizer(data).encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _hot_words(docs: DataFrame, data: str, most: int) -> dict[str, bytes]:
+    """The ids of the words that are frequent and short enough, ``most`` at most.
+
+    The least count is read from the numbers of words by count, halving: no task or driver sorts or holds the words.
+    """
+    words = word_table(docs, data)
+    short = words.where(F.octet_length("word") <= HOT_BYTES)
+    level = F.floor(F.log2("n")).cast("int")
+    by_level = sorted(((r[0], r[1]) for r in short.groupBy(level).count().collect()), reverse=True)  # 64 rows at most
+    total, least = 0, None
+    for at, n in by_level:
+        if total + n > most:
+            break
+        total, least = total + n, at
+    if least is None:
+        return {}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_ids(b.column(0).to_pylist(), data), pa.binary())], names=["word", "ids"])
+
+    got = short.where(level >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
 def word_table(docs: DataFrame, data: str) -> DataFrame:
-    """word, n, ids (unsigned 32-bit, little-endian) of every distinct word of all texts, special texts aside."""
+    """word, n of every distinct word of all texts, special texts aside."""
     _, special = _pieces(data)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,112 +113,49 @@ def word_table(docs: DataFrame, data: str) -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(_split(t or "", special))
-                if len(seen) > COUNTED:
+                seen.update(split(t or "", data))
+                if len(seen) > HELD:
                     yield out()
         if seen:
             yield out()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(data)
-        for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                part = b.slice(at, 5000)
-                ids = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
     words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.where(~F.col("word").isin(*special)) if special else words
-    return written(words.mapInArrow(encode, "word string, n long, ids binary"), "words")
-
-
-def _hot(words: DataFrame, most: int) -> tuple[dict[str, bytes], DataFrame]:
-    """The ids of the words that are frequent and short enough, ``most`` at most; the table of the others.
-
-    The least count is read from the numbers of words by count, halving: no task or driver sorts the words.
-    """
-    short = words.where(F.octet_length("word") <= HOT_BYTES)
-    level = F.floor(F.log2("n")).cast("int")
-    by_level = sorted(((r[0], r[1]) for r in short.groupBy(level).count().collect()), reverse=True)  # 64 rows at most
-    total, least = 0, None
-    for at, n in by_level:
-        if total + n > most:
-            break
-        total, least = total + n, at
-    if least is None:
-        return {}, words
-    is_hot = (F.octet_length("word") <= HOT_BYTES) & (level >= least)
-    got = words.where(is_hot).select("word", "ids").toArrow()
-    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)), words.where(~is_hot).select("word", "ids")
-
-
-def _digests(ids: bytes, pieces: list[bytes]) -> tuple[int, str, str]:
-    """Tokens, SHA-256 of the ids, SHA-256 of the text that they decode to."""
-    text = b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    return written(words.where(~F.col("word").isin(*special)) if special else words, "words")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids (little-endian) and decoded text.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids (unsigned 32-bit, little-endian) and the decoded text.
 
-    A first pass counts the distinct words; each is encoded once. The frequent ones, bounded in number and length, go to
-    every task, which joins their ids by position; a text that has no other word is finished there. For the others the
-    ids with holes are kept, the words of the holes are joined to the table by a shuffle, and the holes are filled.
+    A first pass counts the distinct words of all texts. The frequent ones, bounded in number and length, are encoded once
+    and go to every task, which joins ids to words by position; a task adds the rare words that it meets to its table,
+    each encoded once there, and starts the table anew beyond HELD of them. So no word, text or id is shuffled.
     Decoding joins each id to its piece; the pieces are the vocabulary, which doesn't grow with the data.
     Null texts are empty: no tokens, digests of nothing. Repeated rows are kept; an empty table gives none.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; tasks get the text
         held = spark.sparkContext.broadcast(f.read())
-    words = word_table(docs, held.value)
-    frequent, rest = _hot(words, hot_words)
-    hot = spark.sparkContext.broadcast(frequent)
-    done = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary()), ("decoded", pa.string())] if with_ids else [])]
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
-
-    def finished(ids: bytes, pieces: list[bytes]) -> list:
-        text = [ids, b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")] if with_ids else []
-        return [*_digests(ids, pieces), *text]
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, special = _pieces(held.value)
-        known = hot.value | {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
-        schema = pa.schema([("doc_id", pa.int64()), *done, ("parts", pa.list_(pa.binary())), ("holes", pa.list_(pa.string()))])
+    hot = spark.sparkContext.broadcast(_hot_words(docs, held.value, hot_words))
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary()), ("decoded", pa.string())] if with_ids else [])]
+    schema = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = held.value
+        pieces, special = _pieces(data)
+        start = hot.value | {s: array("I", [i]).tobytes() for s, i in special.items()}
+        known = dict(start)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                out = []
-                for text in b.column(1).to_pylist():
-                    w = _split(text or "", special)
-                    try:
-                        out.append([*finished(b"".join([known[x] for x in w]), pieces), None, None])
-                    except KeyError:
-                        parts, holes = [[]], []
-                        for x in w:
-                            if (ids := known.get(x)) is None:
-                                parts.append([])
-                                holes.append(x)
-                            else:
-                                parts[-1].append(ids)
-                        out.append([*[None] * len(done), [b"".join(p) for p in parts], holes])
-                cols = [pa.array([r[i] for r in out], schema.field(i + 1).type) for i in range(len(schema) - 1)]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], schema=schema)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, _ = _pieces(held.value)
-        schema = pa.schema([("doc_id", pa.int64()), *done])
-        for b in batches:
-            for row in b.to_pylist():
-                known = {x["word"]: x["ids"] for x in row["known"]}
-                ids = row["parts"][0] + b"".join([known[w] + p for w, p in zip(row["holes"], row["parts"][1:], strict=True)])
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, [row["doc_id"], *finished(ids, pieces)], strict=True))], schema=schema)
-
-    once = docs.select("doc_id", "text").mapInArrow(first, f"doc_id long, {kinds}, parts array<binary>, holes array<string>")
-    names = ["doc_id", *[n for n, _ in done]]
-    if rest.isEmpty():
-        return once.select(*names)
-    once = written(once.withColumn("rid", F.monotonically_increasing_id()), "encoded")
-    open_ = once.where("holes is not null").select("rid", "doc_id", "parts", "holes")
-    known = open_.select("rid", F.explode(F.array_distinct("holes")).alias("word")).join(rest, "word").groupBy("rid").agg(F.collect_list(F.struct("word", "ids")).alias("known"))
-    filled = open_.join(known, "rid").select("doc_id", "parts", "holes", "known").mapInArrow(fill, f"doc_id long, {kinds}")
-    return once.where("holes is null").select(*names).unionByName(filled)
+                texts = [split(t or "", data) for t in b.column(1).to_pylist()]
+                if len(known) > len(start) + HELD:
+                    known = dict(start)
+                new = list(set().union(*texts).difference(known))
+                known.update(zip(new, _ids(new, data), strict=True))
+                ids = [b"".join([known[w] for w in words]) for words in texts]
+                decoded = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in ids]
+                cols = [b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(ids, pa.binary()), pa.array(decoded)] if with_ids else [])], schema=schema)
+
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
