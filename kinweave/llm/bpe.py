@@ -5,24 +5,20 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinweave.llm.common import written
-
-#: Words at most that every task is sent with their ids, and bytes of a word at most there: 32 MB or so.
-HOT_WORDS, HOT_BYTES = 100_000, 64
-#: Distinct words that a task holds besides: while it counts, and of the rare ones while it encodes.
-HELD = 200_000
+#: Distinct words that a task's table holds before it is started anew: 64 MB or so.
+HELD = 400_000
 #: The split of byte-level BPE vocabularies of this kind into words.
 _words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
 #: The same for texts of characters up to U+024F but a few, where the standard library's classes agree; it is faster.
@@ -34,6 +30,7 @@ _beyond_known = re.compile("[^\x00-\u052f\u1e00-\u206f\u20a0-\u20bf\u2100-\u2bff
 
 @functools.lru_cache(2)
 def _tokenizer(data: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokenizer.from_str(data)
 
 
@@ -74,86 +71,35 @@ def _ids(words: list[str], data: str) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in _tokenizer(data).encode_batch_fast(words, add_special_tokens=False)]
 
 
-def _hot_words(docs: DataFrame, data: str, most: int) -> dict[str, bytes]:
-    """The ids of the words that are frequent and short enough, ``most`` at most.
-
-    The least count is read from the numbers of words by count, halving: no task or driver sorts or holds the words.
-    """
-    words = word_table(docs, data)
-    short = words.where(F.octet_length("word") <= HOT_BYTES)
-    level = F.floor(F.log2("n")).cast("int")
-    by_level = sorted(((r[0], r[1]) for r in short.groupBy(level).count().collect()), reverse=True)  # 64 rows at most
-    total, least = 0, None
-    for at, n in by_level:
-        if total + n > most:
-            break
-        total, least = total + n, at
-    if least is None:
-        return {}
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_ids(b.column(0).to_pylist(), data), pa.binary())], names=["word", "ids"])
-
-    got = short.where(level >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
-    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-
-
-def word_table(docs: DataFrame, data: str) -> DataFrame:
-    """word, n of every distinct word of all texts, special texts aside."""
-    _, special = _pieces(data)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return got
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(split(t or "", data))
-                if len(seen) > HELD:
-                    yield out()
-        if seen:
-            yield out()
-
-    words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(words.where(~F.col("word").isin(*special)) if special else words, "words")
-
-
-def encode(docs: DataFrame, tokenizer_path: str, hot_words: int = HOT_WORDS, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, held_words: int = HELD, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; ``with_ids`` adds ids (unsigned 32-bit, little-endian) and the decoded text.
 
-    A first pass counts the distinct words of all texts. The frequent ones, bounded in number and length, are encoded once
-    and go to every task, which joins ids to words by position; a task adds the rare words that it meets to its table,
-    each encoded once there, and starts the table anew beyond HELD of them. So no word, text or id is shuffled.
+    Each task splits its texts into words, keeps a table of the distinct ones, encodes each once as it enters the table
+    (anew beyond HELD of them), and joins ids to words by position. No word, text or id is shuffled.
     Decoding joins each id to its piece; the pieces are the vocabulary, which doesn't grow with the data.
     Null texts are empty: no tokens, digests of nothing. Repeated rows are kept; an empty table gives none.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; tasks get the text
         held = spark.sparkContext.broadcast(f.read())
-    hot = spark.sparkContext.broadcast(_hot_words(docs, held.value, hot_words))
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.binary()), ("decoded", pa.string())] if with_ids else [])]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = held.value
         pieces, special = _pieces(data)
-        start = hot.value | {s: array("I", [i]).tobytes() for s, i in special.items()}
+        start = {s: array("I", [i]).tobytes() for s, i in special.items()}
         known = dict(start)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = [split(t or "", data) for t in b.column(1).to_pylist()]
-                if len(known) > len(start) + HELD:
+                if len(known) > held_words:
                     known = dict(start)
-                new = list(set().union(*texts).difference(known))
+                new = list(set(chain.from_iterable(texts)).difference(known))
                 known.update(zip(new, _ids(new, data), strict=True))
-                ids = [b"".join([known[w] for w in words]) for words in texts]
-                decoded = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in ids]
+                ids = [b"".join(map(known.__getitem__, words)) for words in texts]
+                decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in ids]
                 cols = [b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(ids, pa.binary()), pa.array(decoded)] if with_ids else [])], schema=schema)
 
