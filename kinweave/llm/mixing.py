@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFram
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; ``keep`` names further columns.
+    """doc_id, size, source_size, target, taken, times (passes that take it) of every document; ``keep`` names further columns.
 
     Documents of a source are shuffled by a seeded hash and pass up to PASSES times; one's virtual finish time is the
     source's words up to and with it, over the source's target. The mix is the stream of all sources by that time, cut
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 42,
         one = d.select("doc_id", "source", "shuffle", "size", both).where(bin_of(F.col("e.v")) == cut["bin"])
         order = Window.orderBy("e.v", F.col("source").isNull(), "source", "shuffle", "doc_id", "size", "e.pass").rowsBetween(Window.unboundedPreceding, 0)
         end = one.select("e.v", F.col("e.pass").alias("pass"), F.col("source").isNull().alias("no_source"), "source", "shuffle", F.sum("size").over(order).alias("upto")).where(F.col("upto") <= left).orderBy(F.desc("upto"), F.desc("v"), F.desc("no_source"), F.desc("source"), F.desc("shuffle"), F.desc("pass")).first()
-    taken = F.lit(0).cast("long")
+    times = F.lit(0).cast("long")
     for p in range(PASSES):
         v = F.col(f"_v{p}")
         if cut is None:
@@ -91,8 +91,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = 42,
                 place = F.struct(v, F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("shuffle"), F.lit(p))
                 last = F.struct(F.lit(end["v"]), F.lit(end["no_source"]), F.lit(end["source"] or ""), F.lit(end["shuffle"]), F.lit(end["pass"]))
                 inside = inside | ((bin_of(v) == cut["bin"]) & (place <= last))
-        taken = taken + F.when(inside, F.col("size")).otherwise(0)
-    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
+        times = times + F.coalesce(inside, F.lit(False)).cast("long")
+    return d.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *keep)
 
 
 ORACLE = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, mixing, simhash, sketch, urls, warc
+from kinweave.llm import bpe, html_template, mixing, pii, quality, simhash, sketch, urls, warc
 from kinweave.llm.common import table
 
 
@@ -19,17 +19,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = simhash.hamming_classes(table(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +60,15 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict", "bound")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op6_warc": op6_warc, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_url_reputation": op10_url_reputation}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
+    "op6_warc": op6_warc,
+    "op7_html": op7_html,
+    "op8_mixing": op8_mixing,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_url_reputation": op10_url_reputation,
+}
 ORACLE_SQL = {"op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op10_url_reputation": urls.ORACLE}
