@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import written
+from kinweave.llm.common import bounded, written
 from kinweave.llm.urls import host_and_path
 
 _token = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|$)|<!?/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
@@ -29,6 +29,8 @@ ARTICLE, ARTICLE_WORDS = frozenset(("article", "main")), frozenset(("article", "
 ENDS = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Templates of all hosts that are sent to every task at most; larger ones meet the pages by a shuffle.
+TEMPLATE_BYTES = 16 << 20
 #: A slot is data if the share of its pages with a text of their own is at least this.
 VARIED = 0.5
 
@@ -152,7 +154,10 @@ def extract(pages: DataFrame) -> DataFrame:
     empty host. Rows are kept as they are, repeated or not; an empty table gives none.
     """
     p = written(parsed(pages), "parsed")
-    t = templates(p)
+    t = written(templates(p), "templates")
+    paths = t.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws("", "data"))), F.lit(0))).first()[0]
+    if paths <= TEMPLATE_BYTES and bounded(t, TEMPLATE_BYTES, 100):
+        t = F.broadcast(t)
     p = p.drop("tokens").join(t, "host", "left")
     is_article = F.exists("blocks", lambda b: b["role"] == 2)
     body = F.filter("blocks", lambda b: F.when(is_article, b["role"] == 2).otherwise((b["role"] == 1) & F.coalesce(F.array_contains("data", b["path"]), F.lit(True))))
