@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import written
 
 
+#: Edges that are thinned in one task.
+PART = 200_000
+
+
+def top(up, x: int) -> int:
+    """The root of ``x`` in a forest of parents, which it flattens."""
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """A part of ``edges`` (a, b) with the same components: of each PART or so of them, what joins trees of that part."""
+    e = written(edges.select("a", "b"), "edges")
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s, t = top(up, up.setdefault(x, x)), top(up, up.setdefault(y, y))
+                keep.append(s != t)
+                up[s] = t
+            yield b.filter(pa.array(keep, pa.bool_()))
+            if len(up) > 4 * PART:
+                up.clear()
+
+    return e.repartition(max(1, -(-e.count() // PART))).mapInArrow(forest, "a long, b long")
+
+
 def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import written
-from kinweave.llm.graph import components
+from kinweave.llm.graph import components, thinned, top
 
 #: Fingerprints of a bucket that are compared pair by pair in a join; larger buckets are linked in other, exact ways.
 CROWD = 32
@@ -178,7 +178,6 @@ def similar_links(fps: DataFrame, lanes: int, similarity: float) -> DataFrame:
     order = np.stack([rng.permutation(bits)[: bits // width * width].reshape(-1, width) for _ in range(times)]).reshape(-1, width)
     power = (1 << np.arange(width)).astype(np.int64)
     cols = [f"f{i}" for i in range(lanes)]
-    types = "node long, " + ", ".join(f"{c} long" for c in cols)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -186,46 +185,44 @@ def similar_links(fps: DataFrame, lanes: int, similarity: float) -> DataFrame:
                 b = whole.slice(at, 2000)
                 f = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1).astype(">i8")
                 on = np.unpackbits(f.view(np.uint8).reshape(len(f), 8 * lanes), axis=1)
-                v = np.stack([on[:, o].astype(np.int64) @ power for o in order], axis=1)
+                v = np.stack([on[:, o].astype(np.int64) @ power for o in order], axis=1) * len(order) + np.arange(len(order))
                 take = np.repeat(np.arange(len(f)), len(order))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(order), dtype=np.int32), len(f))), pa.array(v.reshape(-1)), *[x.take(pa.array(take)) for x in b.columns]], names=["k", "v", "node", *cols])
+                yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1)), *[b.column(c).take(pa.array(take)) for c in ("node", "f0")]], names=["key", "node", "f0"])
 
-    keyed = fps.select("node", *cols).mapInArrow(keys, f"k int, v long, {types}")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    near = written(keyed.join(sizes, ["k", "v"]), "blocks")
-    a = near.where(F.col("n") <= CROWD)
-    b = a.select("k", "v", F.col("node").alias("b"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(cols)])
-    pairs = a.join(b, ["k", "v"]).where((F.col("node") < F.col("b")) & (_apart("f", "g", lanes) <= most)).select(F.col("node").alias("a"), "b")
+    keyed = fps.select("node", *cols).mapInArrow(keys, "key long, node long, f0 long")
+    crowds = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowds")
+    a = keyed.join(crowds, "key", "left_anti")
+    b = a.select("key", F.col("node").alias("b"), F.col("f0").alias("g0"))
+    # the first 64 bits tell nearly all unlike pairs apart, so only they travel with the keys
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    first = math.ceil(64 * p + 4.5 * math.sqrt(64 * p * (1 - p)))
+    alike = a.join(b, "key").where((F.col("node") < F.col("b")) & (_apart("f", "g", 1) <= first)).select(F.col("node").alias("a"), "b").distinct()
+    left, right = (fps.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(cols)]) for x in "ab")
+    pairs = alike.join(left, "a").join(right, "b").where(_apart("a", "b", lanes) <= most).select("a", "b")
+    near = keyed.select("key", "node").join(crowds, "key").join(fps.select("node", *cols), "node")
     parts = F.ceil(F.col("n") / TILE).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
-    tiles = near.where(F.col("n") > CROWD).withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") * 0 + parts - 1)))
-    tiles = tiles.select("k", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", *cols)
+    tiles = near.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiles = tiles.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", *cols)
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf[cols].to_numpy(np.int64).view(np.uint64)
         node, i, j, p = pdf["node"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["p"].to_numpy()
         left = np.flatnonzero(p == i)
         right = left if i == j else np.flatnonzero(p == j)
-        up = np.arange(len(pdf))
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
+        up = list(range(len(pdf)))
         out = []
         for x in left.tolist():
             d = np.bitwise_count(f[right] ^ f[x]).sum(axis=1)
             for y in right[d <= most].tolist():
-                s, t = top(x), top(y)
+                s, t = top(up, x), top(up, y)
                 if s != t:
                     up[s] = t
                     out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    crowd = tiles.groupBy("k", "v", "i", "j").applyInPandas(forest, "a long, b long")
-    return pairs.union(crowd).distinct()
+    crowd = tiles.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")
+    return thinned(pairs.union(crowd).distinct())
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
