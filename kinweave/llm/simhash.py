@@ -22,6 +22,8 @@ from kinweave.llm.graph import components, thinned, top
 CROWD = 32
 #: Fingerprints on a side of a tile of a crowded bucket.
 TILE = 1024
+#: The same for fingerprints of similar texts, whose links a bucket's forest keeps few.
+SIMILAR_CROWD = 12
 SEED = 42
 _word = re.compile(r"\w+")
 
@@ -167,7 +169,7 @@ def _apart(a: str, b: str, lanes: int) -> Column:
 def similar_links(fps: DataFrame, lanes: int, similarity: float) -> DataFrame:
     """a, b: edges (node ids) whose components are those of all pairs that share a block and differ in few enough bits.
 
-    fps: node, f0 ... Buckets up to CROWD are joined with themselves and verified. Larger ones are cut into parts of about
+    fps: node, f0 ... Buckets up to SIMILAR_CROWD are joined with themselves and verified. Larger ones are cut into parts of about
     TILE fingerprints; each two parts meet in a task that compares all their pairs and returns a spanning forest of the
     links, so no bucket is capped, collected as one or expanded into pairs.
     """
@@ -190,12 +192,12 @@ def similar_links(fps: DataFrame, lanes: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1)), *[b.column(c).take(pa.array(take)) for c in ("node", "f0")]], names=["key", "node", "f0"])
 
     keyed = fps.select("node", *cols).mapInArrow(keys, "key long, node long, f0 long")
-    crowds = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowds")
+    crowds = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SIMILAR_CROWD), "crowds")
     a = keyed.join(crowds, "key", "left_anti")
     b = a.select("key", F.col("node").alias("b"), F.col("f0").alias("g0"))
     # the first 64 bits tell nearly all unlike pairs apart, so only they travel with the keys
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    first = math.ceil(64 * p + 4.5 * math.sqrt(64 * p * (1 - p)))
+    first = math.ceil(64 * p + 3.2 * math.sqrt(64 * p * (1 - p)))
     alike = a.join(b, "key").where((F.col("node") < F.col("b")) & (_apart("f", "g", 1) <= first)).select(F.col("node").alias("a"), "b").distinct()
     left, right = (fps.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(cols)]) for x in "ab")
     pairs = alike.join(left, "a").join(right, "b").where(_apart("a", "b", lanes) <= most).select("a", "b")
