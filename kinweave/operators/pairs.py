@@ -1,0 +1,88 @@
+"""Operators on scored pairs: pruning windows, context, shape, assignment, decision and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def fold(entity_id: Column) -> Column:
+    """A, B (40 % each) or H of a record by its number."""
+    n = F.substring(entity_id, 4, 20).cast("long") % 1000003
+    h = (n * 2654435761) % 4294967296 % 10
+    return F.when(h < 4, "A").when(h < 8, "B").otherwise("H")
+
+
+def orphan(entity_id: Column, share: float) -> Column:
+    n = F.substring(entity_id, 4, 20).cast("long") % 1000003
+    return n * 40503 % 65536 % 1000 < share * 1000
+
+
+def rank_gaps(c: DataFrame, score: str) -> DataFrame:
+    """Rank and distance from the best of each pair, within its reference record and within its target; and their sizes."""
+    s, t = Window.partitionBy("s1_id"), Window.partitionBy("tgt_id")
+    x = F.col(score)
+    return c.select("s1_id", "tgt_id", F.row_number().over(s.orderBy(F.desc(score), "tgt_id")).cast("long").alias("rk1"), F.row_number().over(t.orderBy(F.desc(score), "s1_id")).cast("long").alias("rkt"), F.round(F.max(x).over(s) - x, 6).alias("gap1"), F.round(F.max(x).over(t) - x, 6).alias("gapt"), F.count("*").over(s).alias("n_s1"), F.count("*").over(t).alias("n_tgt"))
+
+
+def prune(c: DataFrame, score: str, floor: float, cap: int) -> DataFrame:
+    """Pairs with at least ``floor`` that are among their reference record's ``cap`` best."""
+    best = Window.partitionBy("s1_id").orderBy(F.desc(score), "tgt_id")
+    return c.withColumn("rk", F.row_number().over(best)).where((F.col("rk") <= cap) & (F.col(score) >= floor)).drop("rk")
+
+
+def group_features(p: DataFrame, score: str) -> DataFrame:
+    """Context of a pair in its reference record's group and against rival claims on its target."""
+    s, t = Window.partitionBy("s1_id"), Window.partitionBy("tgt_id")
+    x = F.col(score)
+    p = p.select("s1_id", "tgt_id", x.alias("s"), F.row_number().over(s.orderBy(F.desc(score), "tgt_id")).cast("long").alias("c_rank_s1"), F.row_number().over(t.orderBy(F.desc(score), "s1_id")).cast("long").alias("c_rank_tgt"))
+    second = lambda w, rk: F.coalesce(F.max(F.when(F.col(rk) > 1, F.col("s"))).over(w), F.lit(0.0))
+    margin = F.when(F.col("c_rank_tgt") == 1, F.col("s") - second(t, "c_rank_tgt")).otherwise(F.col("s") - F.max("s").over(t))
+    return p.select("s1_id", "tgt_id", "c_rank_s1", "c_rank_tgt", F.max("s").over(s).alias("c_max_s1"), second(s, "c_rank_s1").alias("c_2nd_s1"), F.round(F.max("s").over(s) - F.col("s"), 6).alias("c_gap_s1"), F.round(F.sum("s").over(s), 6).alias("c_sum_s1"), F.sum((F.col("s") > 0.5).cast("long")).over(s).alias("c_n50_s1"), F.round(margin, 6).alias("c_margin_tgt"))
+
+
+def score_shape(p: DataFrame, score: str) -> DataFrame:
+    """What a reference record's other pairs look like, each pair's own part left out."""
+    s = Window.partitionBy("s1_id")
+    x = F.col(score)
+    p = p.select("s1_id", "tgt_id", x.alias("s"), F.row_number().over(s.orderBy(F.desc(score), "tgt_id")).cast("long").alias("rk"))
+    other = F.when(F.col("rk") == 1, F.coalesce(F.max(F.when(F.col("rk") > 1, F.col("s"))).over(s), F.lit(0.0))).otherwise(F.max("s").over(s))
+    return p.select("s1_id", "tgt_id", F.round(F.sum("s").over(s) - F.col("s"), 6).alias("sum_other"), (F.count("*").over(s) - 1).alias("n_other"), other.alias("max_other"))
+
+
+def many_to_one(p: DataFrame, score: str) -> DataFrame:
+    """Each target with its best claimant only; ties by s1_id."""
+    best = Window.partitionBy("tgt_id").orderBy(F.desc(score), "s1_id")
+    return p.withColumn("rk", F.row_number().over(best)).where("rk = 1").drop("rk")
+
+
+def boost(p: DataFrame, chosen: DataFrame, score: str, floor: float = 0.95) -> DataFrame:
+    flag = chosen.select("s1_id", "tgt_id").distinct().withColumn("_in", F.lit(True))
+    return p.join(flag, ["s1_id", "tgt_id"], "left").withColumn(score, F.when(F.col("_in"), F.greatest(F.col(score), F.lit(floor))).otherwise(F.col(score))).drop("_in")
+
+
+def exclude(p: DataFrame, chosen: DataFrame, score: str) -> DataFrame:
+    flag = chosen.select("s1_id", "tgt_id").distinct().withColumn("_in", F.lit(True))
+    return p.join(flag, ["s1_id", "tgt_id"], "left").withColumn(score, F.when(F.col("_in"), F.lit(0.0)).otherwise(F.col(score))).drop("_in")
+
+
+def per_entity(pred: DataFrame, truth: DataFrame, s1: DataFrame, beta: float = 0.5) -> DataFrame:
+    """s1_id, n_pred, n_true, tp, f of every reference record of ``s1``; both sides empty is 1, no hit is 0."""
+    s1 = s1.select("s1_id").distinct()
+    pred, truth = pred.select("s1_id", "tgt_id").distinct(), truth.select("s1_id", "tgt_id").distinct()
+    both = pred.withColumn("p", F.lit(1)).join(truth.withColumn("t", F.lit(1)), ["s1_id", "tgt_id"], "full")
+    n = both.groupBy("s1_id").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_true"), F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).alias("tp"))
+    x = s1.join(n, "s1_id", "left").fillna(0)
+    b2 = beta * beta
+    f = F.when(F.col("n_pred") + F.col("n_true") == 0, 1.0).when(F.col("tp") == 0, 0.0).otherwise((1 + b2) * F.col("tp") / (b2 * F.col("n_true") + F.col("n_pred")))
+    return x.select("s1_id", "n_pred", "n_true", "tp", F.round(f, 6).alias("f"))
+
+
+def token_stats(s1: DataFrame, tg: DataFrame, min_share: float, max_f: float) -> DataFrame:
+    """country, t, df1, dft, share1, f, cat: how often tokens are in reference and in target records of a country."""
+    docs = lambda d, name: d.select("country", F.explode(F.array_distinct(F.array_remove(F.split("name", " "), ""))).alias("t")).groupBy("country", "t").agg(F.count("*").alias(name))
+    n = lambda d, name: d.groupBy("country").agg(F.count("*").alias(name))
+    x = docs(s1, "df1").join(docs(tg, "dft"), ["country", "t"], "full").fillna(0, ["df1", "dft"]).join(n(s1, "n1"), "country").join(n(tg, "nt"), "country")
+    share = F.when(F.col("df1") > 0, F.ln(F.col("df1") / F.col("n1")))
+    f = F.ln(F.col("dft") + 1) - F.ln(F.col("df1") + 1) - F.ln(F.col("nt") / F.col("n1"))
+    return x.select("country", "t", "df1", "dft", F.round(share, 6).alias("share1"), F.round(f, 6).alias("f"), ((F.col("df1") / F.col("n1") >= min_share) & (F.round(f, 6) < max_f)).alias("cat"))
