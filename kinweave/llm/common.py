@@ -40,3 +40,11 @@ def bounded(df: DataFrame, limit_bytes: int, row_bytes: int) -> bool:
     """Whether ``df`` has at most ``limit_bytes``, at ``row_bytes`` a row; reads at most that many rows."""
     most = limit_bytes // row_bytes
     return df.limit(most + 1).count() <= most
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

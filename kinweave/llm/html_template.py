@@ -129,12 +129,13 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, data (paths): the slots of each host's template that hold data.
+    """host, fixed (paths): the parts of each host's template that hold no data.
 
     A token is a path of elements. Its occurrence vector, how often it comes in each page of the host, is folded into one
     number that adds up over any parts; tokens with one vector are a class. Classes that two or more pages have are valid
     and nest by path below the host's skeleton, the class of what every page has as often. What a slot says on the pages
     tells its kind: at least VARIED of the pages say something of their own in a data slot; the others are template.
+    What is in no valid class is a page's own, and so data.
     """
     t = pages.select("host", "page_id", F.explode("tokens").alias("t")).select("host", F.col("t.path").alias("path"), F.col("t.n").alias("n"), F.col("t.said").alias("said"), F.xxhash64("page_id", "t.n").alias("v"))
     said = t.groupBy("host", "path", "said").agg(F.count("*").alias("pages"), F.bit_xor("v").alias("v"))
@@ -142,24 +143,24 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = token.groupBy("host", "vector", "support").agg(F.collect_list(F.struct("path", "texts")).alias("slots"))
     valid = classes.where("support >= 2")
     slots = valid.select("host", "support", F.explode("slots").alias("s"))
-    return slots.where(F.col("s.texts") >= VARIED * F.col("support")).groupBy("host").agg(F.collect_set("s.path").alias("data"), F.max("support").alias("pages"))
+    return slots.where(F.col("s.texts") < VARIED * F.col("support")).groupBy("host").agg(F.collect_set("s.path").alias("fixed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page: its article blocks, joined by line ends.
 
     Inside an article or main element all blocks count but furniture (menus, forms, adverts, comments and the like, by
-    element, class, id and role). Pages without one give the data slots of their host's template instead, all blocks that
-    aren't furniture where the host has one page. Null html is an empty page; no text is an empty string. A null url is the
+    element, class, id and role). Pages without one give what remains beside furniture and the fixed parts of their host's
+    template; a host of one page has none. Null html is an empty page; no text is an empty string. A null url is the
     empty host. Rows are kept as they are, repeated or not; an empty table gives none.
     """
     p = written(parsed(pages), "parsed")
     t = written(templates(p), "templates")
-    paths = t.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws("", "data"))), F.lit(0))).first()[0]
+    paths = t.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws("", "fixed"))), F.lit(0))).first()[0]
     if paths <= TEMPLATE_BYTES and bounded(t, TEMPLATE_BYTES, 100):
         t = F.broadcast(t)
     p = p.drop("tokens").join(t, "host", "left")
     is_article = F.exists("blocks", lambda b: b["role"] == 2)
-    body = F.filter("blocks", lambda b: F.when(is_article, b["role"] == 2).otherwise((b["role"] == 1) & F.coalesce(F.array_contains("data", b["path"]), F.lit(True))))
+    body = F.filter("blocks", lambda b: F.when(is_article, b["role"] == 2).otherwise((b["role"] == 1) & ~F.coalesce(F.array_contains("fixed", b["path"]), F.lit(False))))
     text = F.array_join(F.transform(body, lambda b: b["text"]), "\n")
     return p.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded, let, written
+from kinweave.llm.common import bounded, fresh, let, written
 
 KEY = "kinweave"
 #: Surrogates changed after a collision that are sent to every task at most; more are joined by a shuffle.
@@ -102,7 +102,7 @@ def surrogate(value: Column, of: Column, attempt: Column, key: str) -> Column:
         n = F.length(canon)
         digits = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _draw(s, i, 10).cast("string")), "")
         # the first digits of a number, a country or an issuer, stay
-        code = F.when(value.startswith("+"), 1).when(of == "card", 1).otherwise(0)
+        code = F.when((of == "phone") & (n > 10), 1).when(of == "card", 1).otherwise(0)
         kept = F.concat(F.substring(canon, F.lit(1), code), F.substring(digits, code + 1, n))
         checked = F.concat(F.substring(kept, F.lit(1), n - 1), ((10 - _luhn(F.concat(F.substring(kept, F.lit(1), n - 1), F.lit("0")))) % 10).cast("string"))
         card = F.when(_luhn(canon) == 0, checked).otherwise(kept)
@@ -162,22 +162,23 @@ def replace(docs: DataFrame, key: str = KEY, make=surrogate) -> DataFrame:
     """
     changed = assigned(docs, key, make).where("attempt > 0").select(F.concat_ws("|", "of", "canon").alias("entity"), "attempt")
     found = mentions(F.col("text"))
+    new_name, again_name, row_name = (fresh(docs, x) for x in ("_new", "_again", "_row"))
     if changed.isEmpty():
         again = lambda of, canon: F.lit(0)
         rows = docs
     else:
         if bounded(changed, CHANGED * 64, 64):
-            rows = docs.withColumn("_again", changed.agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt")))).scalar())
+            rows = docs.withColumn(again_name, changed.agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt")))).scalar())
         else:
-            rows = docs.withColumn("_row", F.monotonically_increasing_id())
-            named = rows.select("_row", F.explode(F.array_distinct(F.transform(found, lambda v: let(kind(v), lambda of: F.concat_ws("|", of, canonical(v, of)))))).alias("entity"))
-            rows = rows.join(named.join(changed, "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_again")), "_row", "left")
-        again = lambda of, canon: F.coalesce(F.try_element_at("_again", F.concat_ws("|", of, canon)), F.lit(0))
+            rows = docs.withColumn(row_name, F.monotonically_increasing_id())
+            named = rows.select(row_name, F.explode(F.array_distinct(F.transform(found, lambda v: let(kind(v), lambda of: F.concat_ws("|", of, canonical(v, of)))))).alias("entity"))
+            rows = rows.join(named.join(changed, "entity").groupBy(row_name).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(again_name)), row_name, "left")
+        again = lambda of, canon: F.coalesce(F.try_element_at(F.col(again_name), F.concat_ws("|", of, canon)), F.lit(0))
 
     def rewritten(f: Column) -> Column:
         new = lambda v: let(kind(v), lambda of: F.when(of.isNull(), v).otherwise(make(v, of, again(of, canonical(v, of)), key)))
         parts = F.split("text", ANY, -1)
         return F.when(F.size(f) > 0, F.struct(let(parts, lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.size(f)), lambda i: F.concat(F.get(p, i), F.when(i < F.size(f), new(F.get(f, i))).otherwise(""))), "")).alias("text"), F.size(F.filter(f, lambda v: kind(v).isNotNull())).alias("n"))).otherwise(F.struct(F.col("text"), F.lit(0).alias("n")))
 
-    rows = rows.withColumn("_new", let(found, rewritten))
-    return rows.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_new.n").cast("long").alias("n_entities"))
+    rows = rows.withColumn(new_name, let(found, rewritten))
+    return rows.select(*[F.col(new_name)["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col(new_name)["n"].cast("long").alias("n_entities"))

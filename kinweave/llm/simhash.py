@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import written
+from kinweave.llm.common import fresh, written
 from kinweave.llm.graph import components, thinned, top
 
 #: Fingerprints of a bucket that are compared pair by pair in a join; larger buckets are linked in other, exact ways.
@@ -253,5 +253,6 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     an id stay only where their class has no id; texts without a word all stay.
     """
     c = similar_classes(docs, words, similarity)
-    keep = c.where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
+    kept = fresh(docs, "_kept")
+    keep = c.where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]), "left_semi")

@@ -1,0 +1,193 @@
+"""Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; and against brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from kinweave.llm import bpe, graph, html_template, mixing, pii, quality, simhash, sketch, urls, warc
+
+TEXTS = [(1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "x" * 20000), (5, "the quick brown fox jumps over the lazy dog"), (6, " \n\t"), (None, "an id that is null"), (7, "a b"), (7, "a b"), (8, "word " * 3000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(*r, "en", None if i % 3 == 0 else f"s{i % 3}", len(r[1] or ""), "clash", i) for i, r in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rid string, fp int")
+
+
+def test_bpe(spark, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    extra = [(20, "it's <|endoftext|>ok  \n\n x²ß 漢字 Ლ꟝"), (21, "<|endoftext|>")]
+    all_ = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = sorted((str(i), *(lambda ids: (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()))(t.encode(x or "", add_special_tokens=False).ids), hashlib.sha256((x or "").encode()).hexdigest()) for i, x in [*TEXTS, *extra])
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode(all_, path, held_words=3).collect())
+    assert got == want
+    assert bpe.encode(docs.where("false"), path).count() == 0
+
+
+def brute_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs):
+    got = simhash.hamming_classes(docs).collect()
+    want = [(i, brute_fingerprint(t)) for i, t in TEXTS]
+    assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64)) for r in got) == sorted((str(i), f) for i, f in want)
+    by = {r["doc_id"]: r["component_id"] for r in got}
+    assert by[5] == 1 and by[3] == by[6] == 2 and by[None] is None
+    assert simhash.hamming_classes(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [32, 1])
+def test_exact_links(spark, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(3)
+    centre = [rng.getrandbits(64) for _ in range(8)]
+    near = {c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (1 << 64) - 1 for c in centre for _ in range(30)}
+    fps = sorted({simhash._signed(x) for x in near if x < 1 << 64})
+    e = simhash.exact_links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    got = {r["node"]: r["root"] for r in graph.components(e).collect()}
+    up = {x: x for x in fps}
+    for a, b in itertools.combinations(fps, 2):
+        if bin((a ^ b) % (1 << 64)).count("1") <= 2:
+            x, y = graph.top(up, a), graph.top(up, b)
+            up[max(x, y)] = min(x, y)
+    assert {x: got.get(x, x) for x in fps} == {x: graph.top(up, x) for x in fps}
+
+
+def test_one_of_each(spark):
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(6)]
+    rows, n = [], 0
+    for b in base:
+        for j in range(4):
+            w = b.split()
+            if j:
+                w[rng.randrange(200)] = "other"
+            rows.append((n, " ".join(w).upper() if j == 2 else " ".join(w)))
+            n += 1
+    kept = simhash.one_of_each(spark.createDataFrame([*rows, (None, base[0]), (50, None), (51, "")], "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 4, 8, 12, 16, 20, 50, 51]
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    good = lambda: "\n".join(" ".join(rng.choice(["the", "river", "stone", "walks", "under", "old"]) for _ in range(12)).capitalize() + "." for _ in range(4))
+    bad = lambda: "\n".join(" ".join(rng.choice(["BUY!!", "WIN$$$", "CLICK***"]) for _ in range(12)) for _ in range(4))
+    rows = [(i, good() if i % 2 else bad()) for i in range(200)]
+    d = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, i % 2) for i in range(200)], (900, None)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(d, labels).collect()}
+    held = [i for i in range(200) if got[i]["held_out"]]
+    assert held and all(got[i]["predicted"] == i % 2 for i in held)
+    assert 0 <= got[900]["score"] <= 1 and got[900]["score"] == got[901]["score"]
+    assert quality.classify(d.where("false"), labels.where("false")).count() == 0
+
+
+def test_field_against_enumeration():
+    rng = np.random.default_rng(0)
+    good, move = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
+    p, _, z = quality.forward_backward(good, np.ones((1, 5), bool), move)
+    score = {y: sum(good[0, i] * y[i] for i in range(5)) + sum(move[y[i], y[i + 1]] for i in range(4)) for y in itertools.product((0, 1), repeat=5)}
+    total = sum(map(np.exp, score.values()))
+    assert np.isclose(z[0], np.log(total))
+    assert np.allclose(p[0], [sum(np.exp(s) for y, s in score.items() if y[i]) / total for i in range(5)])
+
+
+def test_pii(spark):
+    rows = [(1, "mail ann.b@ex.org or ANN.B@EX.ORG, card 4111 1111 1111 1111, 4111111111111111; no card 4111111111111112"), (2, None), (3, ""), (4, "Mrs. Anna Smith, +1 (017) 555-7713, 1.2.3.4, 078-05-1120"), (5, "plain 12 words"), (5, "plain 12 words")]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, _new string")).collect()}
+    assert got[2]["text"] is None and got[5]["text"] == "plain 12 words" and got[5]["_new"] == "c"
+    t = got[1]["text"]
+    a, b = re.findall(r"[\w.]+@[\w.]+", t)
+    assert a.lower() == b.lower() != "ann.b@ex.org" and b.isupper() and "4111111111111112" in t
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", t)
+    assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and got[1]["n_entities"] == 4
+    assert got[4]["text"].startswith("Mrs. ") and "Smith" not in got[4]["text"] and got[4]["n_entities"] == 4
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_pii_collisions(spark, limit, monkeypatch):
+    monkeypatch.setattr(pii, "CHANGED", limit)
+    few = lambda v, of, attempt, key: F.concat(F.lit("u"), F.pmod(F.xxhash64(pii.canonical(v, of), attempt), F.lit(300)).cast("string"), F.lit("@n.org"))
+    d = spark.createDataFrame([(i, f"x a{i % 15}@m.org and u{i}@n.org") for i in range(30)], "doc_id long, text string")
+    made = {}
+    for r, (i,) in zip(pii.replace(d, make=few).orderBy("doc_id").collect(), d.select("doc_id").orderBy("doc_id").collect()):
+        for old, new in zip((f"a{i % 15}@m.org", f"u{i}@n.org"), re.findall(r"\S+@n\.org", r["text"])):
+            assert made.setdefault(old, new) == new
+    assert len(set(made.values())) == len(made) and not set(made.values()) & set(made)
+
+
+PAGES = [(1, "http://a.example.org/en/1", "<p>" + "x" * 200), (2, None, "<p>" + "x" * 200), (3, "u", None), (4, "u\r\nWARC/1.1", ""), (5, "u", "small"), (6, "u", "small"), (6, "u", "small"), (None, "u", "é" * 70)]
+
+
+def test_warc(spark):
+    got = sorted(map(str, warc.round_trip(spark.createDataFrame(PAGES, "page_id long, url string, html string")).collect()))
+    assert len(got) == len(PAGES) and sum("revisit" in x for x in got) == 1 and sum("refers_to=1" in x for x in got) == 1
+
+
+def test_salvage():
+    rec = [warc.record(i, f"http://h/{i}", b"p%d" % i * 50, hashlib.sha256(b"p%d" % i * 50).hexdigest(), 100, None) for i in range(4)]
+    gz = [warc.member(r) for r in rec]
+    broken = bytearray(gz[1])
+    broken[40] ^= 255
+    data = gz[0] + bytes(broken) + b"junk" + rec[2] + rec[3][:60] + gz[3]
+    got = list(warc.salvage(data))
+    assert [x["page_id"] for k, x, _ in got if k == "record"] == [0, 2, 3]
+    at = len(gz[0])
+    assert [(s, e) for k, e, s in got if k == "gap"] == [(at, at + len(broken) + 4), (at + len(broken) + 4 + len(rec[2]), len(data) - len(gz[3]))]
+    assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"nothing")) == [("gap", 7, 0)]
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a>menu</a></ul></nav><div class=\"ad\">buy</div><article><h1>Head &amp; more</h1><p>One <b>bold</b>\n text<p>Two<aside>no</aside></article><div class='comments'>no</div><footer>end"
+    rows = [(1, "http://a.b/x", page), (2, None, None), (3, "u", ""), (4, "u", "<div>only</div>"), (4, "u", "<div>only</div>"), (5, "u", "<p>" + "w " * 20000)]
+    got = {r["page_id"]: r for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["text"] == "Head & more\nOne bold text\nTwo" and got[2]["text"] == "" and got[5]["n_chars"] == 39999
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(TEXTS) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert sum(r["taken"] for r in got) <= 1.5 * sum(r["size"] for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+    assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_sketch(spark, docs):
+    got = {r["doc_id"]: r for r in sketch.fingerprint_edits(docs).collect()}
+    assert len(sketch.fingerprint_edits(docs).collect()) == len(TEXTS)
+    assert got[1]["fingerprint"] == got[5]["fingerprint"] and got[2]["fingerprint"] == "" and got[8]["next_doc_id"] == 7
+    big = TEXTS[-1][1]
+    assert got[8]["edited_sha256"] == hashlib.sha256((big[: len(big) - len(big) // 2] + "a b").encode()).hexdigest()
+    assert got[2]["near_next"] == 0.0 and got[3]["near_next"] == 1.0 and got[None]["next_doc_id"] == 8
+    rng = random.Random(1)
+    w = [f"w{i}" for i in range(4000)]
+    a, b = w[:2000], w[:1000] + [f"v{rng.random()}" for _ in range(1000)]
+    r = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string").select(sketch.sketch(F.col("a"), k=512).alias("a"), sketch.sketch(F.col("b"), k=512).alias("b")).select(sketch.resemblance(F.col("a"), F.col("b"), 512).alias("j"), sketch.containment(F.col("a"), F.col("b"), 512).alias("c"), sketch.distinct_count(F.col("a"), 512).alias("n")).first()
+    assert abs(r["j"] - 1 / 3) < 0.08 and abs(r["c"] - 0.5) < 0.12 and abs(r["n"] - 1996) < 300
+    assert sketch.fingerprint_edits(docs.where("false")).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "http://X.example.ORG/es/1"), (2, "http://example.org/en/1?x"), (3, "http://a.org"), (4, None), (5, "no scheme"), (6, "http://b.com/de/"), (6, "http://b.com/de/"), (7, "http://good.net/a"), (8, "http://bad.net/a")]
+    more = [(100 + i, f"http://{'good' if i % 2 else 'bad'}.net/p{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows + more, "page_id long, url string")
+    outcomes = spark.createDataFrame([*[(100 + i, i % 2) for i in range(200)], (4, None)], "page_id long, good int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.verdicts(pages, outcomes).collect()}
+    assert got[1] == ("x.example.org", "/es/1", "example.org/es/", "block") and got[2][2:] == ("example.org/en/1", "block")
+    assert got[3][:3] == ("a.org", "", None) and got[4][:3] == ("", "", None) and got[6][2:] == ("com/de/", "block")
+    assert got[7][3] == "allow" and got[8][3] == "block"
+    assert urls.verdicts(pages, outcomes.where("false")).count() == len(rows + more)
