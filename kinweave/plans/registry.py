@@ -76,13 +76,16 @@ def _text_query(name, col, sql):
         return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", col().alias("v"))
 
 
-_head = F.substring(F.lower("text"), 1, 120)
+def _head():
+    return F.substring(F.lower("text"), 1, 120)
+
+
 _SQL_HEAD = "substr(lower(text), 1, 120)"
 _SQL_TOK = f"list_transform(list_filter(string_split(trim(regexp_replace(replace({_SQL_HEAD}, '.', ''), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND length(regexp_replace(t, '[^a-z]', '', 'g')) >= 3 THEN translate(t, '0134578', 'oleastb') ELSE t END)"
 _LEGAL_SQL = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in text.LEGAL.items()) + "}"
-_text_query("norm_ocr_tokens", lambda: F.array_join(text.tokens(_head), " "), f"array_to_string({_SQL_TOK}, ' ')")
-_text_query("norm_legal_forms", lambda: text.legal_forms(text.tokens(_head)), f"coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform({_SQL_TOK}, lambda t: {_LEGAL_SQL}[t]), lambda x: x IS NOT NULL))), ' '), '')")
-_text_query("norm_name_core", lambda: text.name_core(text.tokens(_head)), f"array_to_string(list_reduce(list_filter({_SQL_TOK}, lambda t: NOT list_contains({[*text.LEGAL, *text.NAME_STOP]!r}, t)), lambda a, t: CASE WHEN a[-1] = t THEN a ELSE list_append(a, t) END, CAST([] AS VARCHAR[])), ' ')")
+_text_query("norm_ocr_tokens", lambda: F.array_join(text.tokens(_head()), " "), f"array_to_string({_SQL_TOK}, ' ')")
+_text_query("norm_legal_forms", lambda: text.legal_forms(text.tokens(_head())), f"coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform({_SQL_TOK}, lambda t: {_LEGAL_SQL}[t]), lambda x: x IS NOT NULL))), ' '), '')")
+_text_query("norm_name_core", lambda: text.name_core(text.tokens(_head())), f"array_to_string(list_reduce(list_filter({_SQL_TOK}, lambda t: NOT list_contains({[*text.LEGAL, *text.NAME_STOP]!r}, t)), lambda a, t: CASE WHEN a[-1] = t THEN a ELSE list_append(a, t) END, CAST([] AS VARCHAR[])), ' ')")
 _text_query("norm_numbers", lambda: F.array_join(text.numbers(F.lower("text")), ","), "array_to_string(list_transform(list_filter(list_zip(n, range(1, len(n) + 1)), lambda p: list_position(n, p[1]) = p[2]), lambda p: p[1]), ',') FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '([0-9]+)', 1), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END) AS n FROM documents) x --")
 ORACLE_SQL["norm_numbers"] = ORACLE_SQL["norm_numbers"].replace("x -- AS v FROM documents", "x").replace("',') FROM (", "',') AS v FROM (")
 _text_query("norm_fold_latin", lambda: text.fold(F.substring("text", 1, 200)), f"translate(replace(replace(replace(replace(replace(replace(replace(lower(substr(text, 1, 200)), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), 'ø', 'o'), '’', ''''), '–', '-'), '—', '-'), '{text.FOLD_FROM}', '{text.FOLD_TO}')")
