@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, html_template, mixing, pii, quality, simhash, sketch, urls, warc
+from kinweave.llm import bpe, html_template, mixing, pii, quality, search, simhash, sketch, urls, warc
 from kinweave.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -65,10 +70,11 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_search": op5_search,
     "op6_warc": op6_warc,
     "op7_html": op7_html,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_reputation": op10_url_reputation,
 }
-ORACLE_SQL = {"op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op10_url_reputation": urls.ORACLE}
+ORACLE_SQL = {"op5_search": search.ORACLE, "op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op10_url_reputation": urls.ORACLE}

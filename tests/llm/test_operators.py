@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, graph, html_template, mixing, pii, quality, simhash, sketch, urls, warc
+from kinweave.llm import bpe, graph, html_template, mixing, pii, quality, search, simhash, sketch, urls, warc
 
 TEXTS = [(1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "x" * 20000), (5, "the quick brown fox jumps over the lazy dog"), (6, " \n\t"), (None, "an id that is null"), (7, "a b"), (7, "a b"), (8, "word " * 3000)]
 
@@ -191,3 +192,36 @@ def test_urls(spark):
     assert got[3][:3] == ("a.org", "", None) and got[4][:3] == ("", "", None) and got[6][2:] == ("com/de/", "block")
     assert got[7][3] == "allow" and got[8][3] == "block"
     assert urls.verdicts(pages, outcomes.where("false")).count() == len(rows + more)
+
+
+def brute_search(rows, queries, k):
+    """Every document scored for every query, without an index."""
+    bags = [(i, search.words(t)) for i, t in rows]
+    n, average = len(bags), sum(len(w) for _, w in bags) / len(bags)
+    df = {x: sum(x in w for w in (set(w) for _, w in bags)) for x in {x for _, w in bags for x in w}}
+    out = []
+    for q, text in queries:
+        found = []
+        for i, w in bags:
+            score = sum(round(math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * (w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * (len(w) / average)))) * search.UNIT) for x in set(search.words(text)) & set(w))
+            if score:
+                found.append((-score, i is None, i or 0))
+        out += [(q, r + 1, None if null else i, -s / search.UNIT) for r, (s, null, i) in enumerate(sorted(found)[:k])]
+    return out
+
+
+@pytest.mark.parametrize("postings,entries,step", [(1 << 20, 1 << 20, 16), (700, 60, 1)])
+def test_search(spark, docs, postings, entries, step, monkeypatch):
+    monkeypatch.setattr(search, "STEP", step)
+    monkeypatch.setattr(search, "LONG", 4)
+    rng = random.Random(11)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(3000)]
+    rows = [(100 + j, " ".join(rng.choices(common, k=20) + rng.choices(rare, k=rng.randrange(12)))) for j in range(400)]
+    rows += [(600 + j, rows[5][1]) for j in range(30)] + TEXTS
+    all_ = docs.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("term")).unionByName(spark.createDataFrame(rows[: -len(TEXTS)], "doc_id long, text string").selectExpr("*", "2 score", "'y' term")).repartition(3)
+    queries = [(i, t) for i, t in rows if i in (1, 2, 3, 6, 7, 105) or (i or 0) % 25 == 0] + [(9001, "nowhere c1"), (9002, "nothing found"), (None, "quick r7")]
+    got = search.top_k(all_, spark.createDataFrame(queries, "query_id long, text string"), 5, postings, entries).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_search(rows, queries, 5), key=key)
+    assert search.top_k(docs.where("false"), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
+    assert search.top_k(docs, docs.where("false").select(F.col("doc_id").alias("query_id"), "text")).count() == 0
