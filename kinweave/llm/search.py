@@ -20,11 +20,11 @@ K1, B = 1.2, 0.75
 #: A posting's weight is a multiple of 1 / UNIT: sums are exact, in whatever order and shard they are made.
 UNIT = 1 << 20
 #: Postings (or documents) of a shard at which the next one begins, distinct (query, term) entries of a block of queries.
-SHARD_POSTINGS, BLOCK_ENTRIES = 6_000_000, 1_000_000
+SHARD_POSTINGS, BLOCK_ENTRIES = 6_000_000, 2_000_000
 #: Documents of a block whose greatest weight is kept for each list of LONG postings or more; share of a shard's
 #: documents from which a list is also held as a dense row.
 BLOCK, LONG, DENSE = 64, 64, 1 / 16
-#: Lists that are added up between two looks at the threshold.
+#: Lists, at least, that are added up between two looks at the threshold.
 STEP = 16
 _word = re.compile(r"[^\W_]+")
 
@@ -88,11 +88,12 @@ class Shard:
         mine = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
         at = at.fill_null(-1).to_numpy(zero_copy_only=False)[mine]
         chosen = np.repeat(np.isin(np.arange(len(df)), mine), df)
-        self.doc = np.frombuffer(row["docs"].as_buffer(), "<i4")[chosen]
+        self.doc = np.frombuffer(row["docs"].as_buffer(), "<i4")[chosen].astype(np.intp)
         tf = np.frombuffer(row["tfs"].as_buffer(), "<i4")[chosen].astype(float)
         norm = K1 * (1 - B + B * (np.frombuffer(row["lens"].as_buffer(), "<i4") / average))
         df = df[mine]
         self.off = np.concatenate([[0], np.cumsum(df)])
+        self.ends = list(zip(self.off[:-1].tolist(), self.off[1:].tolist()))
         self.weight = np.rint(np.repeat(idf[at], df) * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT)
         self.list_of = np.full(len(vocabulary), -1)
         self.list_of[at] = np.arange(len(mine))
@@ -115,8 +116,12 @@ class Shard:
 
     def add(self, lists: np.ndarray) -> np.ndarray:
         """The weights of all documents in these lists."""
-        spans = [slice(self.off[t], self.off[t + 1]) for t in lists]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        rows = [self.dense[t] for t in lists if t in self.dense]
+        spans = [slice(*self.ends[t]) for t in lists if t not in self.dense]
+        out = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n) if spans else np.zeros(self.n)
+        for row in rows:
+            out += row
+        return out
 
     def weights_in(self, t: int, among: np.ndarray) -> np.ndarray:
         """The weights of one list in the documents ``among``."""
@@ -141,9 +146,11 @@ class Shard:
         rest = np.concatenate([np.cumsum(self.bound[lists][::-1])[::-1], [0.0]])
         score, pivot = np.zeros(self.n), 0
         while pivot < len(lists) and (rest[pivot] >= least or not pivot):
-            score += self.add(lists[pivot : pivot + STEP])
-            pivot = min(pivot + STEP, len(lists))
-            if self.n > k:
+            until = pivot + max(STEP, (len(lists) - pivot) // 4)
+            score += self.add(lists[pivot:until].tolist())
+            pivot = min(until, len(lists))
+            # only k sums above all that is left can end this
+            if np.count_nonzero(score > rest[pivot]) >= k:
                 least = max(least, np.partition(score, self.n - k)[self.n - k])
         among = np.flatnonzero((score > 0) & (score + rest[pivot] >= least))
         score, behind = score[among], lists[pivot:]
@@ -194,24 +201,24 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = SHAR
     asked_ = queries.select(F.col("query_id").cast("long"), "text").mapInArrow(asked, "query_id long, terms array<string>").where("size(terms) > 0")
     asked_ = written(asked_.select("query_id", F.sha2(F.concat_ws(" ", "terms"), 256).alias("query"), "terms"), "queries")
     n, lengths = index.select("lens").mapInArrow(_lengths, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("words")).first()
-    once = asked_.groupBy("query").agg(F.first("terms").alias("terms"))
-    entry = written(once.select("query", F.explode("terms").alias("term")), "entries")
+    once = written(asked_.groupBy("query").agg(F.first("terms").alias("terms")).withColumn("number", F.monotonically_increasing_id()), "distinct")
+    entry = once.select("number", F.explode("terms").alias("term"))
     counted = index.select(F.inline(F.arrays_zip("terms", "dfs"))).toDF("term", "df")
     df = counted.join(entry.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     n_blocks = max(1, -(-entry.count() // entries))
-    block = F.pmod(F.xxhash64("query"), F.lit(n_blocks))
-    entry = written(entry.join(df, "term").select(block.alias("block"), "query", "term", "df"), "weighted")
+    block = F.pmod(F.xxhash64("number"), F.lit(n_blocks))
+    entry = written(entry.join(df, "term").select(block.alias("block"), "number", "term", "df"), "weighted")
     found = []
     for i in range(n_blocks if n else 0):
-        part = entry.where(F.col("block") == i).select("query", "term", "df").toArrow()
+        part = entry.where(F.col("block") == i).select("number", "term", "df").toArrow()
         if part.num_rows:
             found.append(written(_search(index, part, n, lengths / n or 1.0, k), "found"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    best = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     best = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    best = best.groupBy("query").agg(F.collect_list(F.struct("rank", "doc_id", "score")).alias("found"))
-    return asked_.select("query", "query_id").join(best, "query").select("query_id", F.inline("found"))
+    best = best.groupBy("number").agg(F.collect_list(F.struct("rank", "doc_id", "score")).alias("found"))
+    return asked_.select("query", "query_id").join(once.select("query", "number"), "query").join(best, "number").select("query_id", F.inline("found"))
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +228,8 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int) -> DataFrame:
-    """query, doc_id, score: each task's best ``k`` of every query of one block (query, term, df)."""
-    term, query = part["term"].combine_chunks().dictionary_encode(), part["query"].combine_chunks().dictionary_encode()
+    """number, doc_id, score: each task's best ``k`` of every query of one block (number, term, df)."""
+    term, query = part["term"].combine_chunks().dictionary_encode(), part["number"].combine_chunks().dictionary_encode()
     at, of = term.indices.to_numpy(), query.indices.to_numpy()
     df = np.zeros(len(term.dictionary))
     df[at] = part["df"].to_numpy()
@@ -249,9 +256,9 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int) ->
         if bests:
             score, ids, null = map(np.concatenate, zip(*bests.values()))
             which = np.repeat(list(bests), [len(x[0]) for x in bests.values()])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(ids, mask=null), pa.array(score / UNIT)], names=["query", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(ids, mask=null), pa.array(score / UNIT)], names=["number", "doc_id", "score"])
 
-    return index.mapInArrow(search, "query string, doc_id long, score double")
+    return index.mapInArrow(search, "number long, doc_id long, score double")
 
 
 ORACLE = r"""
