@@ -11,6 +11,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ SHARD_POSTINGS, BLOCK_ENTRIES = 6_000_000, 2_000_000
 BLOCK, LONG, DENSE = 64, 64, 1 / 16
 #: Lists, at least, that are added up between two looks at the threshold.
 STEP = 16
+#: Shards, at least, of the first wave; each later wave has about as many as all before it.
+FIRST = 4
 _word = re.compile(r"[^\W_]+")
 
-_INDEX = "ids array<long>, lens binary, terms array<string>, dfs array<int>, docs binary, tfs binary"
+_INDEX = "level int, ids array<long>, lens binary, terms array<string>, dfs array<int>, docs binary, tfs binary"
 
 
 def words(text: str | None) -> list[str]:
@@ -38,11 +41,14 @@ def words(text: str | None) -> list[str]:
 
 def build(docs: DataFrame, postings: int = SHARD_POSTINGS) -> DataFrame:
     """The inverted index, a row a shard: documents by length (``ids``, ``lens``), terms with their document counts, and
-    the places and counts of each term in turn. Every row of ``docs`` is in one shard, also those without words."""
+    the places and counts of each term in turn. Every row of ``docs`` is in one shard, also those without words.
+    Half of the tasks make shards of ``level`` 0, a quarter of level 1, and so on, evenly over the table."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         ids, lens, sizes, term, tf = [], array("i"), array("i"), array("i"), array("i")
+        task = TaskContext.get().partitionId() + 1
+        level = (task & -task).bit_length() - 1
 
         def packed() -> pa.RecordBatch:
             n, length = len(ids), np.frombuffer(lens, "<i4")
@@ -52,9 +58,9 @@ def build(docs: DataFrame, postings: int = SHARD_POSTINGS) -> DataFrame:
             doc = np.repeat(place, np.frombuffer(sizes, "<i4"))
             t = np.frombuffer(term, "<i4")
             by = np.lexsort((doc, t))
-            columns = [[ids[i] for i in order]], [length[order].tobytes()], [list(known)], [np.bincount(t, minlength=len(known)).astype("<i4")], [doc[by].tobytes()], [np.frombuffer(tf, "<i4")[by].tobytes()]
-            types = pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["ids", "lens", "terms", "dfs", "docs", "tfs"])
+            columns = [level], [[ids[i] for i in order]], [length[order].tobytes()], [list(known)], [np.bincount(t, minlength=len(known)).astype("<i4")], [doc[by].tobytes()], [np.frombuffer(tf, "<i4")[by].tobytes()]
+            types = pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["level", "ids", "lens", "terms", "dfs", "docs", "tfs"])
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -144,8 +150,10 @@ class Shard:
             return lists, np.zeros(0)
         lists = lists[np.lexsort((lists, -self.bound[lists]))]
         rest = np.concatenate([np.cumsum(self.bound[lists][::-1])[::-1], [0.0]])
+        if rest[0] < least:
+            return lists[:0], np.zeros(0)
         score, pivot = np.zeros(self.n), 0
-        while pivot < len(lists) and (rest[pivot] >= least or not pivot):
+        while pivot < len(lists) and rest[pivot] >= least:
             until = pivot + max(STEP, (len(lists) - pivot) // 4)
             score += self.add(lists[pivot:until].tolist())
             pivot = min(until, len(lists))
@@ -187,8 +195,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = SHAR
     answered one by one; empty tables give an empty result. Other columns are not read.
 
     The index is written once to the shared folder. Queries go over it in blocks of about ``entries`` words, each
-    block sent to every task; equal queries are answered once. A task keeps the best k of a query over its shards; the
-    tasks' bests meet by query. Nothing else is shuffled but the counts of words.
+    block sent to every task; equal queries are answered once. A block goes over the shards in waves, each about as
+    large as all before it: a wave's tasks know the k-th best (score, doc_id) that the earlier ones found for a query and
+    return only what comes before it, k at most. So a query's rows grow with the number of waves, the logarithm of the
+    table, and not with the tasks. The rows meet by query after each wave. Nothing else is shuffled but the counts of words.
     """
     spark = docs.sparkSession
 
@@ -208,44 +218,78 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = SHAR
     n_blocks = max(1, -(-entry.count() // entries))
     block = F.pmod(F.xxhash64("number"), F.lit(n_blocks))
     entry = written(entry.join(df, "term").select(block.alias("block"), "number", "term", "df"), "weighted")
-    found = []
-    for i in range(n_blocks if n else 0):
-        part = entry.where(F.col("block") == i).select("number", "term", "df").toArrow()
-        if part.num_rows:
-            found.append(written(_search(index, part, n, lengths / n or 1.0, k), "found"))
-    if not found:
+    levels = index.groupBy("level").count().collect() if n else []
+    best = [_in_waves(index, part, _waves({r["level"]: r["count"] for r in levels}), n, lengths / n or 1.0, k) for part in _parts(entry, n_blocks if n else 0)]
+    if not best:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    best = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    best = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    best = best.groupBy("number").agg(F.collect_list(F.struct("rank", "doc_id", "score")).alias("found"))
+    best = reduce(DataFrame.unionByName, best).groupBy("number").agg(F.collect_list(F.struct("rank", "doc_id", "score")).alias("found"))
     return asked_.select("query", "query_id").join(once.select("query", "number"), "query").join(best, "number").select("query_id", F.inline("found"))
 
 
+def _parts(entry: DataFrame, n_blocks: int) -> Iterator[pa.Table]:
+    for i in range(n_blocks):
+        part = entry.where(F.col("block") == i).select("number", "term", "df").toArrow()
+        if part.num_rows:
+            yield part
+
+
+def _waves(shards: dict[int, int]) -> list[list[int]]:
+    """The levels of each wave, given each level's shards: the highest levels first, until they have FIRST, then one by one."""
+    waves: list[list[int]] = [[]]
+    for level in sorted(shards, reverse=True):
+        if sum(shards[x] for x in waves[0]) >= FIRST:
+            waves.append([])
+        waves[-1].append(level)
+    return waves
+
+
+def _in_waves(index: DataFrame, part: pa.Table, waves: list[list[int]], n: int, average: float, k: int) -> DataFrame:
+    """number, rank, doc_id, score: the best ``k`` of every query of one block, wave by wave."""
+    best, floor = None, None
+    order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    for wave in waves:
+        found = _search(index.where(F.col("level").isin(wave)), part, n, average, k, floor)
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+        if wave is not waves[-1]:
+            # one row a query of the block
+            floor = best.where(F.col("rank") == k).select("number", "score", "doc_id").toArrow()
+    return best
+
+
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lens = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in lens], pa.int64()), pa.array([int(x.sum()) for x in lens], pa.int64())], names=["n", "words"])
 
 
-def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int) -> DataFrame:
-    """number, doc_id, score: each task's best ``k`` of every query of one block (number, term, df)."""
+def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, floor: pa.Table | None) -> DataFrame:
+    """number, doc_id, score: each task's best ``k`` of every query of one block (number, term, df), as far as they are not
+    behind the query's row of ``floor`` (number, score, doc_id), the last of k rows that are known already."""
     term, query = part["term"].combine_chunks().dictionary_encode(), part["number"].combine_chunks().dictionary_encode()
     at, of = term.indices.to_numpy(), query.indices.to_numpy()
     df = np.zeros(len(term.dictionary))
     df[at] = part["df"].to_numpy()
     order = np.argsort(of, kind="stable")
     ends = np.cumsum(np.bincount(of, minlength=len(query.dictionary)))
-    sent = index.sparkSession.sparkContext.broadcast((term.dictionary, np.log(1 + (n - df + 0.5) / (df + 0.5)), query.dictionary, np.split(at[order], ends[:-1])))
+    least, last = np.zeros(len(query.dictionary)), np.full(len(query.dictionary), np.iinfo(np.int64).max)
+    if floor is not None:
+        of = pc.index_in(floor["number"].combine_chunks(), value_set=query.dictionary).to_numpy()
+        least[of] = np.rint(floor["score"].to_numpy() * UNIT)
+        last[of] = pc.fill_null(floor["doc_id"], np.iinfo(np.int64).max).to_numpy()
+    sent = index.sparkSession.sparkContext.broadcast((term.dictionary, np.log(1 + (n - df + 0.5) / (df + 0.5)), query.dictionary, np.split(at[order], ends[:-1]), least, last))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, names, queries = sent.value
+        vocabulary, idf, names, queries, least, last = sent.value
         bests: dict[int, tuple] = {}
         for b in batches:
             for i in range(b.num_rows):
-                shard = Shard({c: b.column(c)[i] for c in b.schema.names}, vocabulary, idf, average)
+                shard = Shard({c: b.column(c)[i] for c in b.schema.names[1:]}, vocabulary, idf, average)
                 for q, terms in enumerate(queries):
                     old = bests.get(q)
-                    place, score = shard.top(terms, k, old[0][-1] if old is not None and len(old[0]) == k else 0.0)
+                    place, score = shard.top(terms, k, max(least[q], old[0][-1] if old is not None and len(old[0]) == k else 0.0))
+                    stay = (score > least[q]) | (shard.ids[place] <= last[q])
+                    place, score = place[stay], score[stay]
                     if not len(place):
                         continue
                     new = score, shard.ids[place], shard.null[place]

@@ -210,15 +210,21 @@ def brute_search(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("postings,entries,step", [(1 << 20, 1 << 20, 16), (700, 60, 1)])
-def test_search(spark, docs, postings, entries, step, monkeypatch):
+def test_waves():
+    assert search._waves({0: 8, 1: 4, 2: 2, 3: 2}) == [[3, 2], [1], [0]]
+    assert search._waves({0: 2}) == [[0]]
+
+
+@pytest.mark.parametrize("postings,entries,step,tasks", [(1 << 20, 1 << 20, 16, 3), (700, 60, 1, 3), (700, 1 << 20, 16, 16)])
+def test_search(spark, docs, postings, entries, step, tasks, monkeypatch):
     monkeypatch.setattr(search, "STEP", step)
+    monkeypatch.setattr(search, "FIRST", 1)
     monkeypatch.setattr(search, "LONG", 4)
     rng = random.Random(11)
     common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(3000)]
     rows = [(100 + j, " ".join(rng.choices(common, k=20) + rng.choices(rare, k=rng.randrange(12)))) for j in range(400)]
     rows += [(600 + j, rows[5][1]) for j in range(30)] + TEXTS
-    all_ = docs.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("term")).unionByName(spark.createDataFrame(rows[: -len(TEXTS)], "doc_id long, text string").selectExpr("*", "2 score", "'y' term")).repartition(3)
+    all_ = docs.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("term")).unionByName(spark.createDataFrame(rows[: -len(TEXTS)], "doc_id long, text string").selectExpr("*", "2 score", "'y' term")).repartition(tasks)
     queries = [(i, t) for i, t in rows if i in (1, 2, 3, 6, 7, 105) or (i or 0) % 25 == 0] + [(9001, "nowhere c1"), (9002, "nothing found"), (None, "quick r7")]
     got = search.top_k(all_, spark.createDataFrame(queries, "query_id long, text string"), 5, postings, entries).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
