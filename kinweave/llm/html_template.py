@@ -105,7 +105,7 @@ def _role(name: str, tag: str, outer: int) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks (role, path, text) and tokens (path, n, hash of its texts) of every page."""
+    """page_id, url, host, blocks (role, path, text) and tokens (path, n, hash of its texts; not of furniture) of every page."""
     kinds = "page_id long, url string, blocks array<struct<role:int,path:string,text:string>>, tokens array<struct<path:string,n:int,said:long>>"
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(pa.struct([("role", pa.int32()), ("path", pa.string()), ("text", pa.string())]))), ("tokens", pa.list_(pa.struct([("path", pa.string()), ("n", pa.int32()), ("said", pa.int64())])))])
 
@@ -116,10 +116,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                 rows = []
                 for page_id, url, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     found = blocks(page or "")
-                    count = Counter(p for _, p, _ in found)
+                    count = Counter(p for r, p, _ in found if r)
                     said = {p: xxhash.xxh64() for p in count}
-                    for _, p, t in found:
-                        said[p].update(f"{t}\n")
+                    for r, p, t in found:
+                        if r:
+                            said[p].update(f"{t}\n")
                     tokens = [{"path": p, "n": n, "said": said[p].intdigest() - (1 << 63)} for p, n in count.items()]
                     rows.append({"page_id": page_id, "url": url, "blocks": [{"role": r, "path": p, "text": t} for r, p, t in found], "tokens": tokens})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -131,19 +132,15 @@ def parsed(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host, fixed (paths): the parts of each host's template that hold no data.
 
-    A token is a path of elements. Its occurrence vector, how often it comes in each page of the host, is folded into one
-    number that adds up over any parts; tokens with one vector are a class. Classes that two or more pages have are valid
-    and nest by path below the host's skeleton, the class of what every page has as often. What a slot says on the pages
-    tells its kind: at least VARIED of the pages say something of their own in a data slot; the others are template.
-    What is in no valid class is a page's own, and so data.
+    A slot is a path of elements, furniture aside. Pages of a host that say the same in all slots count once, or else copies
+    would make an article look like template. Of the pages left that have a slot, at least VARIED say something of their
+    own in a data slot; the others are template. What one page alone has is its own, and so data.
     """
-    t = pages.select("host", "page_id", F.explode("tokens").alias("t")).select("host", F.col("t.path").alias("path"), F.col("t.n").alias("n"), F.col("t.said").alias("said"), F.xxhash64("page_id", "t.n").alias("v"))
-    said = t.groupBy("host", "path", "said").agg(F.count("*").alias("pages"), F.bit_xor("v").alias("v"))
-    token = said.groupBy("host", "path").agg(F.sum("pages").alias("support"), F.count("*").alias("texts"), F.bit_xor("v").alias("vector"))
-    classes = token.groupBy("host", "vector", "support").agg(F.collect_list(F.struct("path", "texts")).alias("slots"))
-    valid = classes.where("support >= 2")
-    slots = valid.select("host", "support", F.explode("slots").alias("s"))
-    return slots.where(F.col("s.texts") < VARIED * F.col("support")).groupBy("host").agg(F.collect_set("s.path").alias("fixed"))
+    d = pages.select("host", "tokens", F.xxhash64("tokens").alias("said")).groupBy("host", "said").agg(F.first("tokens").alias("tokens"))
+    t = d.select("host", F.explode("tokens").alias("t")).select("host", F.col("t.path").alias("path"), F.col("t.said").alias("said"))
+    said = t.groupBy("host", "path", "said").agg(F.count("*").alias("pages"))
+    slots = said.groupBy("host", "path").agg(F.sum("pages").alias("support"), F.count("*").alias("texts"))
+    return slots.where((F.col("support") >= 2) & (F.col("texts") < VARIED * F.col("support"))).groupBy("host").agg(F.collect_set("path").alias("fixed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

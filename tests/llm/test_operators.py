@@ -159,6 +159,13 @@ def test_html(spark):
     assert got[1]["text"] == "Head & more\nOne bold text\nTwo" and got[2]["text"] == "" and got[5]["n_chars"] == 39999
 
 
+def test_html_copies(spark):
+    page = "<body><div class=top>Site</div><div class=text><h1>Head</h1><p>One</p><p>Two</p></div><div class=ad>{}</div></body>"
+    rows = [(i, "http://a.b/x", page.format("ad")) for i in range(3)] + [(10 + i, "http://c.d/x", page.format(f"ad {i}")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"Site\nHead\nOne\nTwo"} and len(got) == 6
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS) and all(r["taken"] <= 2 * r["size"] for r in got)
