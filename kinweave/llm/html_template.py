@@ -1,4 +1,4 @@
-"""Main text of web pages by templates: equivalence classes of tokens with one occurrence vector over a host's pages."""
+"""Main text of web pages by templates: paths of elements that say the same on a host's pages are template, others data."""
 
 from __future__ import annotations
 
@@ -24,7 +24,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements, and words of class, id and role, that hold no article text.
 FURNITURE = frozenset("nav header footer aside form button dialog menu head".split())
 FURNITURE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header menu nav navbar navigation newsletter notice popup promo related reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo search".split())
-ARTICLE, ARTICLE_WORDS = frozenset(("article", "main")), frozenset(("article", "main"))
 #: An element that a start tag ends where it is still open.
 ENDS = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
 #: Start tags that end an open paragraph.
@@ -36,7 +35,7 @@ VARIED = 0.5
 
 
 def blocks(page: str) -> list[tuple[int, str, str]]:
-    """Role (2 article, 1 unknown, 0 furniture), path and text of the blocks of a page, in order."""
+    """Role (0 furniture, 1 any other), path and text of the blocks of a page, in order."""
     stack: list[tuple[str, str, int]] = []  # element, its place in a path, role inside it
     out, held = [], []
 
@@ -101,7 +100,7 @@ def _role(name: str, tag: str, outer: int) -> int:
     words = _words(tag) if "=" in tag else set()
     if words & FURNITURE_WORDS:
         return 0
-    return 2 if name in ARTICLE or words & ARTICLE_WORDS else outer
+    return outer
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -144,11 +143,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page: its article blocks, joined by line ends.
+    """page_id, url, text, n_chars of every page: its data slots, joined by line ends.
 
-    Inside an article or main element all blocks count but furniture (menus, forms, adverts, comments and the like, by
-    element, class, id and role). Pages without one give what remains beside furniture and the fixed parts of their host's
-    template; a host of one page has none. Null html is an empty page; no text is an empty string. A null url is the
+    The host's template chooses, on pages with an article element too; of what it leaves, furniture (menus, forms,
+    adverts, comments and the like, by element, class, id and role) is dropped as a check. The fixed parts are those of the
+    host's template; a host of one page has none. Null html is an empty page; no text is an empty string. A null url is the
     empty host. Rows are kept as they are, repeated or not; an empty table gives none.
     """
     p = written(parsed(pages), "parsed")
@@ -157,7 +156,6 @@ def extract(pages: DataFrame) -> DataFrame:
     if paths <= TEMPLATE_BYTES and bounded(t, TEMPLATE_BYTES, 100):
         t = F.broadcast(t)
     p = p.drop("tokens").join(t, "host", "left")
-    is_article = F.exists("blocks", lambda b: b["role"] == 2)
-    body = F.filter("blocks", lambda b: F.when(is_article, b["role"] == 2).otherwise((b["role"] == 1) & ~F.coalesce(F.array_contains("fixed", b["path"]), F.lit(False))))
+    body = F.filter("blocks", lambda b: (b["role"] > 0) & ~F.coalesce(F.array_contains("fixed", b["path"]), F.lit(False)))
     text = F.array_join(F.transform(body, lambda b: b["text"]), "\n")
     return p.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

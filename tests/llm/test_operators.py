@@ -166,6 +166,13 @@ def test_html_copies(spark):
     assert set(got.values()) == {"Site\nHead\nOne\nTwo"} and len(got) == 6
 
 
+def test_html_template_chooses(spark):
+    page = "<body><div class=lead>Lead {0}</div><article><h1>Head {0}</h1><div class=note>Subscribers read on.</div><p>Text {0}</p></article></body>"
+    rows = [(i, "http://a.b/x", page.format(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Lead {i}\nHead {i}\nText {i}" for i in range(4)}
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS) and all(r["taken"] <= 2 * r["size"] for r in got)
