@@ -1,29 +1,30 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming verification, components."""
+"""Near-duplicates: SimHash fingerprints, pigeonhole blocks, Hamming verification; shingle sets, shared prefixes, exact Jaccard; components."""
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from functools import reduce
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import fresh, written
+from kinweave.llm.common import bounded, fresh, written
 from kinweave.llm.graph import components, thinned, top
 
 #: Fingerprints of a bucket that are compared pair by pair in a join; larger buckets are linked in other, exact ways.
 CROWD = 32
 #: Fingerprints on a side of a tile of a crowded bucket.
 TILE = 1024
-#: The same for fingerprints of similar texts, whose links a bucket's forest keeps few.
+#: The same for shingle sets, whose links a bucket's forest keeps few.
 SIMILAR_CROWD = 12
+#: Texts in which frequent shingles are counted, and the most of these that every task gets.
+SAMPLE, COMMON = 20_000, 1 << 15
 SEED = 42
 _word = re.compile(r"\w+")
 
@@ -144,102 +145,147 @@ def hamming_classes(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     return d.join(fps.join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- links at a similarity of shingle sets, by longer fingerprints
+# ---- links at a similarity of shingle sets, exactly
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Expected differing bits of two texts whose shingle sets have this Jaccard similarity, and one standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 0.6 * math.sqrt(bits * p * (1 - p)))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes in order; none for a text without a word."""
+    return np.unique(_hashes(bare_words(text or ""), words))
 
 
-def splits(n: int, similarity: float, bits: int, missed: float = 0.01) -> tuple[int, int]:
-    """Block width and number of splits for ``n`` fingerprints: buckets of unrelated texts stay small, and a pair at the
-    similarity shares no block with a chance of ``missed`` at most. Every split permutes the bits and cuts them in blocks."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = max(16, math.ceil(math.log2(max(2, n))) - 2)
-    blocks = math.log(missed) / math.log(1 - (1 - p) ** width)
-    return width, max(1, math.ceil(blocks / (bits // width)))
+def _node(h: np.ndarray) -> int | None:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) if len(h) else None
 
 
-def _apart(a: str, b: str, lanes: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(lanes)])
+def enough(inter, a, b, part: Fraction):
+    """Whether sets of ``a`` and ``b`` members of which ``inter`` are common have a Jaccard of ``part`` at least; in whole numbers."""
+    return inter * (part.numerator + part.denominator) >= (a + b) * part.numerator
 
 
-def similar_links(fps: DataFrame, lanes: int, similarity: float) -> DataFrame:
-    """a, b: edges (node ids) whose components are those of all pairs that share a block and differ in few enough bits.
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of frequent shingles in about SAMPLE texts. They only set an order: links don't depend on them."""
 
-    fps: node, f0 ... Buckets up to SIMILAR_CROWD are joined with themselves and verified. Larger ones are cut into parts of about
-    TILE fingerprints; each two parts meet in a task that compares all their pairs and returns a spanning forest of the
-    links, so no bucket is capped, collected as one or expanded into pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["h"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    got = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r["h"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame, words: int, part: Fraction) -> DataFrame:
+    """doc_id, node (of the set of shingles; null without a word), n (its size) and keys of every row.
+
+    Shingles have one order in all texts, rare ones first. Two sets with a Jaccard of ``part`` or more have one of their
+    first n - ceil(part n) + 1 shingles in common; these are the keys. That holds for any order and any number of rows.
     """
-    bits = 64 * lanes
-    most = bits_apart(similarity, bits)
-    width, times = splits(fps.count(), similarity, bits)
-    rng = np.random.default_rng(SEED)
-    order = np.stack([rng.permutation(bits)[: bits // width * width].reshape(-1, width) for _ in range(times)]).reshape(-1, width)
-    power = (1 << np.arange(width)).astype(np.int64)
-    cols = [f"f{i}" for i in range(lanes)]
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frequent, counts = common_shingles(docs, words)
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def keys(h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(frequent, h).clip(max=max(0, len(frequent) - 1))
+        times = np.where(frequent[at] == h, counts[at], 0) if len(frequent) else np.zeros(len(h), np.int64)
+        first = len(h) - -(-part.numerator * len(h) // part.denominator) + 1
+        return h[np.lexsort((h, times))[:first]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+                node, n = pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), node, n, pa.array([keys(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, said (the set's hashes, 8 bytes each) of ``nodes`` (distinct), taken from the texts once more."""
+    schema = pa.schema([("node", pa.int64()), ("said", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                f = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1).astype(">i8")
-                on = np.unpackbits(f.view(np.uint8).reshape(len(f), 8 * lanes), axis=1)
-                v = np.stack([on[:, o].astype(np.int64) @ power for o in order], axis=1) * len(order) + np.arange(len(order))
-                take = np.repeat(np.arange(len(f)), len(order))
-                yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1)), *[b.column(c).take(pa.array(take)) for c in ("node", "f0")]], names=["key", "node", "f0"])
-
-    keyed = fps.select("node", *cols).mapInArrow(keys, "key long, node long, f0 long")
-    crowds = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SIMILAR_CROWD), "crowds")
-    a = keyed.join(crowds, "key", "left_anti")
-    b = a.select("key", F.col("node").alias("b"), F.col("f0").alias("g0"))
-    # the first 64 bits tell nearly all unlike pairs apart, so only they travel with the keys
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    first = math.ceil(64 * p + 3.2 * math.sqrt(64 * p * (1 - p)))
-    alike = a.join(b, "key").where((F.col("node") < F.col("b")) & (_apart("f", "g", 1) <= first)).select(F.col("node").alias("a"), "b").distinct()
-    left, right = (fps.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(cols)]) for x in "ab")
-    pairs = alike.join(left, "a").join(right, "b").where(_apart("a", "b", lanes) <= most).select("a", "b")
-    near = keyed.select("key", "node").join(crowds, "key").join(fps.select("node", *cols), "node")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
-    tiles = near.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tiles = tiles.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", *cols)
+            for at in range(0, whole.num_rows, 1000):
+                sets = [h for t in whole.slice(at, 1000).column(0).to_pylist() if len(h := shingle_set(t, words))]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], schema=schema)
+
+    if bounded(nodes, 16 << 20, 16):
+        nodes = F.broadcast(nodes)
+    return docs.select("text").mapInArrow(run, "node long, said binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, words: int, part: Fraction) -> DataFrame:
+    """a, b: edges (nodes) whose components are those of all pairs with a Jaccard of ``part`` or more, and of no others.
+
+    rows: node, n, keys. Sets that share a key are compared as whole sets. Buckets of up to SIMILAR_CROWD are joined with
+    themselves, and what the sizes and places of the key rule out is dropped. Larger ones are cut into parts of about
+    TILE sets; each two parts meet in a task that compares all their pairs and returns a spanning forest of the
+    links, so no bucket is capped, collected as one or expanded into pairs.
+    """
+    keyed = rows.where("node is not null").select("node", "n", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.repartition("key").dropDuplicates(["key", "node"])
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    near = written(keyed.join(sizes, "key"), "blocks")
+    a = near.where(F.col("met") <= SIMILAR_CROWD)
+    b = a.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"))
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    pairs = written(a.join(b, "key").where((F.col("node") < F.col("b")) & enough(most, F.col("n"), F.col("m"), part)).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    crowd = near.where(F.col("met") > SIMILAR_CROWD).select("key", "node", "met")
+    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct(), "nodes")
+    sets = written(sets_of(docs, nodes, words), "sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in ("x", "y"))
+            keep = [enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), part) for s, t in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    said = lambda node, x: sets.select(F.col("node").alias(node), F.col("said").alias(x))
+    alike = pairs.join(said("a", "x"), "a").join(said("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    parts = F.ceil(F.col("met") / TILE).cast("int")
+    place = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
+    tiles = crowd.withColumn("p", place).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiles = tiles.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node").join(sets, "node")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf[cols].to_numpy(np.int64).view(np.uint64)
+        sets = [np.frombuffer(v, np.uint64) for v in pdf["said"]]
+        n = np.array([len(h) for h in sets], np.int64)
+        on = np.zeros((len(sets), 1024), bool)
+        for k, h in enumerate(sets):
+            on[k, h & np.uint64(1023)] = True
+        bits = np.packbits(on, axis=1).view(np.uint64)
         node, i, j, p = pdf["node"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["p"].to_numpy()
-        left = np.flatnonzero(p == i)
-        right = left if i == j else np.flatnonzero(p == j)
-        up = list(range(len(pdf)))
-        out = []
-        for x in left.tolist():
-            d = np.bitwise_count(f[right] ^ f[x]).sum(axis=1)
-            for y in right[d <= most].tolist():
-                s, t = top(up, x), top(up, y)
-                if s != t:
-                    up[s] = t
-                    out.append((node[x], node[y]))
+        right, tree, out = np.flatnonzero(p == j), np.arange(len(sets)), []
+        for x in np.flatnonzero(p == i).tolist():
+            y = right[(right > x) & (tree[right] != tree[x])] if i == j else right[tree[right] != tree[x]]
+            # a bit that only one of two sets has stands for one member at least that the other lacks
+            most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
+            for z in y[enough(most, n[x], n[y], part)].tolist():
+                if tree[z] != tree[x] and enough(len(np.intersect1d(sets[x], sets[z], assume_unique=True)), n[x], n[z], part):
+                    tree[tree == tree[z]] = tree[x]
+                    out.append((node[x], node[z]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    crowd = tiles.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")
-    return thinned(pairs.union(crowd).distinct())
+    return thinned(alike.union(tiles.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")).distinct())
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, node, least of every row: ``least`` is the smallest doc_id of the row's class of near copies.
 
-    Similarity is that of the sets of ``words``-word shingles (case and punctuation aside), estimated from a SimHash of
-    64 * lanes bits. Texts without a word are one class only where the texts are equal, which they are by shingles:
-    they are left alone instead, each a class of its own (node null).
+    Similarity is the Jaccard of the sets of ``words``-word shingles (case and punctuation aside), by 64-bit hashes. Classes are
+    joined by pairs of that similarity, every one of them and no other. Texts without a word are one class only where the texts
+    are equal, which they are by shingles: they are left alone instead, each a class of its own (node null).
     """
-    d = written(fingerprints(docs, words, lanes, bare=True), "fingerprints")
-    cols = [f"f{i}" for i in range(lanes)]
-    blank = reduce(lambda x, y: x & y, [F.col(c) == 0 for c in cols])
-    d = d.withColumn("node", F.when(~blank, F.xxhash64(*cols)))
-    fps = written(d.where("node is not null").groupBy("node", *cols).agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(similar_links(fps, lanes, similarity))
+    part = Fraction(str(similarity))
+    d = written(prefixes(docs, words, part), "prefixes")
+    roots = components(similar_links(docs, d, words, part))
+    d = d.select("doc_id", "node")
+    fps = d.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     fps = fps.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = fps.groupBy("root").agg(F.min("least").alias("least"))
     classes = fps.drop("least").join(of_root, "root").select("node", "least")

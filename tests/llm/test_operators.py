@@ -83,6 +83,33 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 4, 8, 12, 16, 20, 50, 51]
 
 
+def brute_kept(rows):
+    """doc_ids that near_dedup keeps, from all pairs of exact shingle sets (ids distinct)."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := re.findall(r"\w+", (t or "").lower()))}
+    up = {i: i for i, _ in rows}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = graph.top(up, a), graph.top(up, b)
+            up[max(x, y)] = min(x, y)
+    return sorted(i for i in up if graph.top(up, i) == i)
+
+
+def around(rng, n, low, high):
+    """Texts in pairs whose similarity is near 0.8: a share of ``low`` to ``high`` of the words is cut off one end."""
+    rows = []
+    for k in range(n):
+        w = [f"w{rng.randrange(30000)}" for _ in range(rng.randrange(40, 400))]
+        cut = int(len(w) * rng.uniform(low, high))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[cut:]))]
+    return rows
+
+
+def test_similarity_is_exact(spark):
+    rows = around(random.Random(8), 60, 0.12, 0.28)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(rows) and 60 < len(kept) < 120
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "river", "stone", "walks", "under", "old"]) for _ in range(12)).capitalize() + "." for _ in range(4))
