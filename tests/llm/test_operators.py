@@ -110,6 +110,13 @@ def test_similarity_is_exact(spark):
     assert sorted(r["doc_id"] for r in kept) == brute_kept(rows) and 60 < len(kept) < 120
 
 
+def test_similarity_is_of_sets(spark):
+    rng = random.Random(9)
+    line = " ".join(f"l{i}" for i in range(30))
+    rows = [(i, " ".join([line] * 20 + [f"v{rng.randrange(10**6)}" for _ in range(300)])) for i in range(2)]
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "river", "stone", "walks", "under", "old"]) for _ in range(12)).capitalize() + "." for _ in range(4))
