@@ -117,6 +117,25 @@ def test_similarity_is_of_sets(spark):
     assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
 
 
+@pytest.mark.parametrize(("crowd", "tile"), [(12, 1024), (2, 4)])
+def test_no_link_is_lost(spark, crowd, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "SIMILAR_CROWD", crowd)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(10)
+    rows = around(rng, 150, 0.1, 0.21)
+    base = [f"b{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join(base[: 60 - i % 12] + [f"x{rng.randrange(4)}"])) for i in range(40)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(rows)
+
+
+def test_near_dedup_stage(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "river", "stone", "walks", "under", "old"]) for _ in range(12)).capitalize() + "." for _ in range(4))
