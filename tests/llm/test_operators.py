@@ -270,25 +270,157 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"nothing")) == [("gap", 7, 0)]
 
 
+def texts(spark, rows):
+    got = html_template.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, token string")).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and len(got) == len(rows)
+    return {r["page_id"]: r["text"] for r in got}
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a>menu</a></ul></nav><div class=\"ad\">buy</div><article><h1>Head &amp; more</h1><p>One <b>bold</b>\n text<p>Two<aside>no</aside></article><div class='comments'>no</div><footer>end"
-    rows = [(1, "http://a.b/x", page), (2, None, None), (3, "u", ""), (4, "u", "<div>only</div>"), (4, "u", "<div>only</div>"), (5, "u", "<p>" + "w " * 20000)]
-    got = {r["page_id"]: r for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1]["text"] == "Head & more\nOne bold text\nTwo" and got[2]["text"] == "" and got[5]["n_chars"] == 39999
+    rows = [(1, "http://a.b/x", page), (2, None, None), (3, "u", ""), (4, "u", "<div>only</div>"), (4, "u", "<div>only</div>"), (5, "u", "<p>" + "w " * 200_000), (None, "u", "<p>no id")]
+    got = texts(spark, rows)
+    assert got[1] == "Head & more\nOne bold text\nTwo" and got[2] == "" and len(got[5]) == 399_999 and got[None] == "no id"
+    assert html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string").where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a <img src=x> b<ruby>c<rt>d</rt></ruby> <x-y>e</x-y></p>tail", ["a bcd e", "tail"]),
+        ('<article><p class="share-price">9<div class="search-results-article"><p>in</div></article>', ["9", "in"]),
+        ('<a href="x>one</a> rest<p>two', ["one rest", "two"]),
+        ("x < y <p>1<br>2", ["x < y", "1 2"]),
+        ('<header>Site</header><article><header class="entry-header"><h1>Title</h1><span>by me</span></header><p>One <span class="ad">buy<span>now</span></span> two', ["Title", "One two"]),
+        ('<body class="with-sidebar"><div class="site-footer">f</div><div id=comments-area>c</div><div role=search>s</div><p>kept', ["kept"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul>", ["a", "b", "c", "d", "e"]),
+        ("a<!-- no --><style>p{}</style><script>if (a<b) {}</script>b<select><option>no</select>", ["ab"]),
+    ],
+)
+def test_html_blocks(page, want):
+    assert [t for _, t, _ in html_template.blocks(page)[0]] == want
 
 
 def test_html_copies(spark):
     page = "<body><div class=top>Site</div><div class=text><h1>Head</h1><p>One</p><p>Two</p></div><div class=ad>{}</div></body>"
-    rows = [(i, "http://a.b/x", page.format("ad")) for i in range(3)] + [(10 + i, "http://c.d/x", page.format(f"ad {i}")) for i in range(3)]
-    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert set(got.values()) == {"Site\nHead\nOne\nTwo"} and len(got) == 6
+    rows = [(i, "http://a.b/x", page.format("ad")) for i in range(3)] + [(10 + i, "http://c.d/x", page.format(f"ad {i}")) for i in range(30)]
+    assert set(texts(spark, rows).values()) == {"Site\nHead\nOne\nTwo"}
+
+
+def prose(rng, n):
+    return " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+
+
+def test_html_near_copies(spark):
+    rng = random.Random(6)
+    base = [prose(rng, 30) for _ in range(6)]
+    rows, want = [], {}
+    for i in range(40):
+        body = [*base[: i % 6], prose(rng, 3), *base[i % 6 + 1 :]]
+        rows.append((i, "http://a.b/x", "<article><h1>Head</h1>" + "".join(f"<p>{x}" for x in body)))
+        want[i] = "\n".join(["Head", *body])
+    assert texts(spark, rows) == want
 
 
 def test_html_template_chooses(spark):
+    rng = random.Random(7)
     page = "<body><div class=lead>Lead {0}</div><article><h1>Head {0}</h1><div class=note>Subscribers read on.</div><p>Text {0}</p></article></body>"
-    rows = [(i, "http://a.b/x", page.format(i)) for i in range(4)]
-    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Lead {i}\nHead {i}\nText {i}" for i in range(4)}
+    rows = [(i, "http://a.b/x", page.format(prose(rng, 9))) for i in range(4)]
+    assert texts(spark, rows) == {i: re.sub("<[^>]*>+", "\n", h).replace("Subscribers read on.", "").strip().replace("\n\n\n", "\n").replace("\n\n", "\n").replace("\n\n", "\n") for i, _, h in rows}
+
+
+def shared_vectors(rng, n):
+    """Pages of a host, of which 12 have a note in its own element and other 12 a passage in a paragraph like all others."""
+    rows, want = [], {}
+    for i in range(n):
+        a, b = prose(rng, 20), prose(rng, 20)
+        note = "<div class=note>Read the terms.</div>" if i < 12 else ""
+        passage = f"<p>{'A passage that many share. ' * 3}</p>" if 6 <= i < 18 else ""
+        rows.append((i, "http://a.b/x", f"<body>{note}<h1>{a}</h1>{passage}<p>{b}</p></body>"))
+        want[i] = "\n".join([a, *([" ".join(["A passage that many share."] * 3)] if passage else []), b])
+    return rows, want
+
+
+def test_html_vectors_decide(spark, monkeypatch):
+    rows, want = shared_vectors(random.Random(8), 24)
+    assert texts(spark, rows) == want
+    blind = lambda voters: html_template_classes(voters.withColumn("voice", F.lit(0)))
+    html_template_classes = html_template.classes
+    monkeypatch.setattr(html_template, "classes", blind)
+    monkeypatch.setattr(html_template, "valid", lambda voters, c: c.select("host", "class").distinct())
+    assert texts(spark, rows) != want  # without the vectors note and passage are one class
+
+
+def brute_fixed(host_pages):
+    """Texts (path, text) of a host's template, with whole vectors and plain lists."""
+    voters = {}
+    for page in host_pages:
+        found, elements = html_template.blocks(page)
+        if found:
+            voters.setdefault(html_template.voice([t for _, t, _ in found]), (found, elements))
+    pages = list(voters.values())
+    tokens = []
+    for found, elements in pages:
+        t = {}
+        for p, at in elements:
+            t.setdefault((p, None), []).append(at)
+        for p, x, at in found:
+            t.setdefault((p, x), []).append(at)
+        tokens.append(t)
+    vectors = {}
+    for x in {x for t in tokens for x in t}:
+        vectors.setdefault(tuple(len(t.get(x, ())) for t in tokens), set()).add(x)
+    vectors = {v: c for v, c in vectors.items() if sum(map(bool, v)) >= 3 and len(c) >= 2 and any(x is None for _, x in c)}
+    if not vectors:
+        return set()
+    most = max((sum(map(bool, v)), len(c)) for v, c in vectors.items())
+    roots = [v for v, c in vectors.items() if (sum(map(bool, v)), len(c)) == most]
+    assert len(roots) == 1  # the test's hosts have no ties
+    fixed = set()
+    for v, c in vectors.items():
+        orders, slots, sound = set(), set(), True
+        for t, n in zip(tokens, v):
+            if not n:
+                continue
+            s = sorted((at, x) for x in c for at in t[x])
+            turns = [s[k * len(c) : (k + 1) * len(c)] for k in range(n)]
+            orders |= {tuple(x for _, x in turn) for turn in turns}
+            root = [at for x in vectors[roots[0]] for at in t.get(x, ())]
+            if v != roots[0]:
+                sound &= not any(turn[0][0] < at < turn[-1][0] for turn in turns for at in root)
+                slots |= {sum(at < s[0][0] for at in root)} if n == 1 else set()
+        said = sum(len(x) for found, _ in (p for p, n in zip(pages, v) if n) for q, x, _ in found if (q, x) in c)
+        share = said / sum(len(x) for found, _ in (p for p, n in zip(pages, v) if n) for _, x, _ in found)
+        if sound and len(orders) == 1 and len(slots) <= 1 and share <= 0.5:
+            fixed |= {(q, x) for q, x in c if x is not None and ((q, None) in c or sum(map(bool, v)) >= 10)}
+    return fixed
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_html_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(html_template, "TEMPLATE_BYTES", limit)
+    rng = random.Random(9)
+    rows = []
+    for h in range(6):
+        for i in range(rng.choice([2, 3, 5, 14])):
+            parts = [f"<h1>{prose(rng, 6)}</h1>"]
+            parts += ["<div class=note>Terms hold.</div>"] if rng.random() < 0.7 or h < 2 else []
+            parts += [f"<p>{prose(rng, 25)}</p>" for _ in range(rng.randrange(1, 4))]
+            parts += ["<p>Said on every page.</p>"] if h % 2 else []
+            parts += ["<ul>" + "".join(f"<li>{x}</li>" for x in ("Home", "About", "Terms")) + "</ul>"] if h < 4 else []
+            if h == 5 and i % 2:
+                parts.reverse()  # order differs: no valid class
+            rows.append((len(rows), f"http://h{h}.org/{i}", f"<body><div class=lead>Lead line {h}</div>{''.join(parts)}</body>"))
+    got, dropped = texts(spark, rows), 0
+    for h in range(6):
+        mine = [r for r in rows if f"//h{h}." in r[1]]
+        fixed = brute_fixed([p for _, _, p in mine])
+        for i, _, p in mine:
+            found = html_template.blocks(p)[0]
+            want = [x for q, x, _ in found if (q, x) not in fixed]
+            dropped += len(found) - len(want)
+            assert got[i] == "\n".join(want)
+    assert dropped > 20
 
 
 def test_mixing(spark, docs):
