@@ -1,11 +1,12 @@
-"""Near-duplicates: SimHash fingerprints, pigeonhole blocks, Hamming verification; shingle sets, shared prefixes, exact Jaccard; components."""
+"""Near-duplicates: SimHash fingerprints, pigeonhole blocks, Hamming verification; for similarity of shingle sets, blocks are shared rare shingles, and an exact check follows."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from kinweave.llm.graph import components, thinned, top
 CROWD = 32
 #: Fingerprints on a side of a tile of a crowded bucket.
 TILE = 1024
-#: The same for shingle sets, whose links a bucket's forest keeps few.
-SIMILAR_CROWD = 12
+#: The same for shingle sets.
+SIMILAR_CROWD = 32
 #: Texts in which frequent shingles are counted, and the most of these that every task gets.
 SAMPLE, COMMON = 20_000, 1 << 15
 SEED = 42
@@ -148,6 +149,14 @@ def hamming_classes(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
 # ---- links at a similarity of shingle sets, exactly
 
 
+#: Bits of the fingerprints of sets, and standard deviations that links at the similarity may lie beyond their expected distance.
+LANES, DEVIATIONS = 4, 5
+#: Shingles on a side of a tile of a group of near copies.
+TILE_MEMBERS = 1 << 20
+#: Nodes, at 24 bytes, that every task gets at most; more of them are joined by a shuffle.
+NODE_BYTES = 32 << 20
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct shingles' hashes in order; none for a text without a word."""
     return np.unique(_hashes(bare_words(text or ""), words))
@@ -162,13 +171,23 @@ def enough(inter, a, b, part: Fraction):
     return inter * (part.numerator + part.denominator) >= (a + b) * part.numerator
 
 
+def differing(part: Fraction) -> int:
+    """Bits of 64 LANES that fingerprints of sets with a Jaccard of ``part`` differ in at most: the expected number and DEVIATIONS more.
+
+    A bit differs with the chance angle / pi of the two sets' vectors, whose cosine is 2 J / (1 + J) for sets of one size and
+    greater for others. Five deviations leave out 3 pairs in 10 million that lie just at ``part``, and fewer beyond it.
+    """
+    chance = math.acos(min(1.0, 2 * float(part) / (1 + float(part)))) / math.pi
+    return math.ceil(64 * LANES * chance + DEVIATIONS * math.sqrt(64 * LANES * chance * (1 - chance)))
+
+
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and counts of frequent shingles in about SAMPLE texts. They only set an order: links don't depend on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["h"])
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(b.column(0)[i].as_py(), words).view(np.int64))], names=["h"])
 
     every = max(1, docs.count() // SAMPLE)
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
@@ -179,13 +198,15 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, words: int, part: Fraction) -> DataFrame:
-    """doc_id, node (of the set of shingles; null without a word), n (its size) and keys of every row.
+    """doc_id, node (of the set of shingles; null without a word), n (its size), keys and f0 ... (its fingerprint) of every row.
 
     Shingles have one order in all texts, rare ones first. Two sets with a Jaccard of ``part`` or more have one of their
     first n - ceil(part n) + 1 shingles in common; these are the keys. That holds for any order and any number of rows.
+    Of equal sets only the first in a batch has keys.
     """
     frequent, counts = common_shingles(docs, words)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    lanes = [f"f{i}" for i in range(LANES)]
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), *[(f, pa.int64()) for f in lanes]])
 
     def keys(h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(frequent, h).clip(max=max(0, len(frequent) - 1))
@@ -194,73 +215,107 @@ def prefixes(docs: DataFrame, words: int, part: Fraction) -> DataFrame:
         return h[np.lexsort((h, times))[:first]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-                node, n = pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), node, n, pa.array([keys(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+        for b in batches:
+            seen: set[int | None] = set()
+            for at in range(0, b.num_rows, 200):
+                rows = []
+                for i in range(at, min(at + 200, b.num_rows)):
+                    h = shingle_set(b.column(1)[i].as_py(), words)
+                    node = _node(h)
+                    f = np.frombuffer(majority(h, LANES), ">u8").astype(np.uint64).view(np.int64).tolist()
+                    rows.append((b.column(0)[i].as_py(), node, len(h), keys(h) if node not in seen and len(h) else [], *f))
+                    seen.add(node)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>, " + ", ".join(f"{f} long" for f in lanes))
+
+
+def alike(rows: DataFrame, part: Fraction) -> DataFrame:
+    """a, b: edges (nodes) whose components hold every pair of sets that share a key and lie within ``differing`` bits.
+
+    rows: as ``prefixes`` has them. Buckets of up to SIMILAR_CROWD sets are joined with themselves. Larger ones are cut into parts of
+    about TILE fingerprints; each two parts meet in a task that compares all their pairs and returns a spanning forest of
+    what is near, so no bucket is capped, collected as one or expanded into pairs. Sizes and places of the key rule pairs out too.
+    """
+    lanes, most = [f"f{i}" for i in range(LANES)], differing(part)
+    place = F.col("n").bitwiseOR(F.shiftleft(F.col("at").cast("long"), 32)).alias("place")
+    keyed = rows.where("node is not null").select("node", "n", F.posexplode("keys").alias("at", "key")).select("key", "node", place)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    near = keyed.join(sizes, "key").select("key", "node", "met", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), F.shiftright("place", 32).alias("at"))
+    of = rows.where("node is not null").groupBy("node").agg(*[F.first(f).alias(f) for f in lanes])
+    near = written(near.join(of, "node"), "blocks")
+    a = near.where(F.col("met") <= SIMILAR_CROWD)
+    b = a.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), *[F.col(f).alias(f"_{f}") for f in lanes])
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"_{f}"))) for f in lanes), F.lit(0))
+    common = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    pairs = a.join(b, "key").where((F.col("node") < F.col("b")) & enough(common, F.col("n"), F.col("m"), part) & (apart <= most)).select(F.col("node").alias("a"), "b")
+    parts = F.ceil(F.col("met") / TILE).cast("int")
+    crowd = near.where(F.col("met") > SIMILAR_CROWD).withColumn("p", F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int"))
+    tiles = crowd.withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "n", *lanes)
 
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        node, n, p, f = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["p"].to_numpy(), pdf[lanes].to_numpy()
+        i, j, tree, out = pdf["i"].iloc[0], pdf["j"].iloc[0], np.arange(len(pdf)), []
+        right = np.flatnonzero(p == j)
+        for x in np.flatnonzero(p == i).tolist():
+            y = right[(right > x) & (tree[right] != tree[x])] if i == j else right[tree[right] != tree[x]]
+            y = y[enough(np.minimum(n[x], n[y]), n[x], n[y], part)]
+            for z in y[np.bitwise_count(f[y] ^ f[x]).sum(axis=1, dtype=np.int64) <= most].tolist():
+                if tree[z] != tree[x]:
+                    tree[tree == tree[z]] = tree[x]
+                    out.append((node[x], node[z]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, said (the set's hashes, 8 bytes each) of ``nodes`` (distinct), taken from the texts once more."""
-    schema = pa.schema([("node", pa.int64()), ("said", pa.binary())])
+    return thinned(pairs.union(tiles.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")).where("a <> b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                sets = [h for t in whole.slice(at, 1000).column(0).to_pylist() if len(h := shingle_set(t, words))]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], schema=schema)
 
-    if bounded(nodes, 16 << 20, 16):
-        nodes = F.broadcast(nodes)
-    return docs.select("text").mapInArrow(run, "node long, said binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (few longs a row), sent to every task where its size allows."""
+    return F.broadcast(df) if bounded(df, NODE_BYTES, 24) else df
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, words: int, part: Fraction) -> DataFrame:
     """a, b: edges (nodes) whose components are those of all pairs with a Jaccard of ``part`` or more, and of no others.
 
-    rows: node, n, keys. Sets that share a key are compared as whole sets. Buckets of up to SIMILAR_CROWD are joined with
-    themselves, and what the sizes and places of the key rule out is dropped. Larger ones are cut into parts of about
-    TILE sets; each two parts meet in a task that compares all their pairs and returns a spanning forest of the
-    links, so no bucket is capped, collected as one or expanded into pairs.
+    Pairs that share a key and whose fingerprints are near make groups; each set of a group of more than one goes to the task of its
+    group, as 8 bytes a shingle, which compares whole sets. A group with over TILE_MEMBERS shingles is cut into parts, each two of
+    which meet in a task. Tasks return spanning forests, so rows don't grow with a group's pairs.
     """
-    keyed = rows.where("node is not null").select("node", "n", F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.repartition("key").dropDuplicates(["key", "node"])
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    near = written(keyed.join(sizes, "key"), "blocks")
-    a = near.where(F.col("met") <= SIMILAR_CROWD)
-    b = a.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"))
-    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
-    pairs = written(a.join(b, "key").where((F.col("node") < F.col("b")) & enough(most, F.col("n"), F.col("m"), part)).select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    crowd = near.where(F.col("met") > SIMILAR_CROWD).select("key", "node", "met")
-    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct(), "nodes")
-    sets = written(sets_of(docs, nodes, words), "sets")
+    roots = components(alike(rows, part))
+    member = written(roots.union(roots.select("root", "root").distinct()).join(rows.groupBy("node").agg(F.first("n").alias("n")), "node"), "groups")
+    sizes = member.groupBy("root").agg(F.ceil(F.sum("n") / TILE_MEMBERS).cast("int").alias("parts"))
+    member = written(member.join(_small(sizes), "root").select("node", "root", "parts"), "members")
+    ids = rows.join(_small(member.select("node")), "node", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(_small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    schema = pa.schema([("node", pa.int64()), ("said", pa.binary())])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in ("x", "y"))
-            keep = [enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), part) for s, t in zip(x, y, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    said = lambda node, x: sets.select(F.col("node").alias(node), F.col("said").alias(x))
-    alike = pairs.join(said("a", "x"), "a").join(said("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    parts = F.ceil(F.col("met") / TILE).cast("int")
-    place = F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int")
-    tiles = crowd.withColumn("p", place).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tiles = tiles.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node").join(sets, "node")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(v, np.uint64) for v in pdf["said"]]
+            seen: set[int | None] = set()
+            for at in range(0, b.num_rows, 200):
+                rows = []
+                for i in range(at, min(at + 200, b.num_rows)):
+                    h = shingle_set(b.column(0)[i].as_py(), words)
+                    if len(h) and (node := _node(h)) not in seen:
+                        seen.add(node)
+                        rows.append((node, h.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+
+    x = texts.mapInArrow(sets, "node long, said binary").join(_small(member), "node")
+    x = x.withColumn("p", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "said")
+
+    def links(group: list[tuple[int, int, bytes]], i: int, j: int) -> tuple[list[int], list[int]]:
+        member = {node: (p, np.frombuffer(said, np.uint64)) for p, node, said in group}
+        node, p = list(member), np.array([p for p, _ in member.values()])
+        sets = [h for _, h in member.values()]
         n = np.array([len(h) for h in sets], np.int64)
         on = np.zeros((len(sets), 1024), bool)
         for k, h in enumerate(sets):
             on[k, h & np.uint64(1023)] = True
         bits = np.packbits(on, axis=1).view(np.uint64)
-        node, i, j, p = pdf["node"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["p"].to_numpy()
-        right, tree, out = np.flatnonzero(p == j), np.arange(len(sets)), []
+        right, tree, a, b = np.flatnonzero(p == j), np.arange(len(sets)), [], []
         for x in np.flatnonzero(p == i).tolist():
             y = right[(right > x) & (tree[right] != tree[x])] if i == j else right[tree[right] != tree[x]]
             # a bit that only one of two sets has stands for one member at least that the other lacks
@@ -268,28 +323,39 @@ def similar_links(docs: DataFrame, rows: DataFrame, words: int, part: Fraction)
             for z in y[enough(most, n[x], n[y], part)].tolist():
                 if tree[z] != tree[x] and enough(len(np.intersect1d(sets[x], sets[z], assume_unique=True)), n[x], n[z], part):
                     tree[tree == tree[z]] = tree[x]
-                    out.append((node[x], node[z]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    a.append(node[x])
+                    b.append(node[z])
+        return a, b
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("root", "i", "j", "p", "node", "said")
+        stream = (row for b in batches for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True))
+        for (_, i, j), group in groupby(stream, key=lambda r: r[:3]):
+            a, b = links([r[3:] for r in group], i, j)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return thinned(alike.union(tiles.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")).distinct())
+    return thinned(x.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verify, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, node, least of every row: ``least`` is the smallest doc_id of the row's class of near copies.
 
     Similarity is the Jaccard of the sets of ``words``-word shingles (case and punctuation aside), by 64-bit hashes. Classes are
-    joined by pairs of that similarity, every one of them and no other. Texts without a word are one class only where the texts
-    are equal, which they are by shingles: they are left alone instead, each a class of its own (node null).
+    joined by pairs of that similarity, every one of them (but for what ``differing`` leaves out) and no other. Texts without a word
+    are one class only where the texts are equal, which they are by shingles: they are left alone instead, each a class of its own (node null).
     """
     part = Fraction(str(similarity))
     d = written(prefixes(docs, words, part), "prefixes")
-    roots = components(similar_links(docs, d, words, part))
-    d = d.select("doc_id", "node")
-    fps = d.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    fps = fps.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    of_root = fps.groupBy("root").agg(F.min("least").alias("least"))
-    classes = fps.drop("least").join(of_root, "root").select("node", "least")
-    return d.join(classes, "node", "left").select("doc_id", "node", F.coalesce("least", "doc_id").alias("least"))
+    roots = written(components(similar_links(docs, d, words, part)), "roots")
+    copies = d.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    linked = roots.union(roots.select("root", "root").distinct())
+    linked = written(copies.join(_small(linked), "node").select("node", "root", "least"), "linked")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("least"))
+    linked = linked.select("node", "root").join(_small(of_root), "root").select("node", "least")
+    alone = copies.where("rows > 1").select("node", "least").join(_small(linked.select("node")), "node", "left_anti")
+    classes = written(linked.union(alone), "classes")
+    return d.select("doc_id", "node").join(_small(classes), "node", "left").select("doc_id", "node", F.coalesce("least", "doc_id").alias("least"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -299,6 +365,11 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     an id stay only where their class has no id; texts without a word all stay.
     """
     c = similar_classes(docs, words, similarity)
-    kept = fresh(docs, "_kept")
-    keep = c.where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]), "left_semi")
+    gone, again = fresh(docs, "_gone"), fresh(docs, "_again")
+    ids = written(c.groupBy(F.col("doc_id").alias(gone)).agg(F.every(~F.col("doc_id").eqNullSafe(F.col("least"))).alias("goes"), F.count("node").alias("rows")), "ids")
+    kept = docs.join(_small(ids.where("goes").select(gone)), docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
+    twice = ids.where("NOT goes AND rows > 1").select(F.col(gone).alias(again))
+    if twice.isEmpty():
+        return kept
+    met = kept["doc_id"].eqNullSafe(F.col(again))
+    return kept.join(_small(twice), met, "left_anti").unionByName(kept.join(_small(twice), met, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -79,8 +80,11 @@ def test_one_of_each(spark):
                 w[rng.randrange(200)] = "other"
             rows.append((n, " ".join(w).upper() if j == 2 else " ".join(w)))
             n += 1
-    kept = simhash.one_of_each(spark.createDataFrame([*rows, (None, base[0]), (50, None), (51, "")], "doc_id long, text string")).collect()
-    assert sorted(r["doc_id"] for r in kept) == [0, 4, 8, 12, 16, 20, 50, 51]
+    more = [(None, base[0]), (50, None), (51, ""), (51, ""), (0, base[0]), (60, "x " * 200_000), (61, "x " * 200_000)]
+    d = spark.createDataFrame([(*r, 1, 2) for r in [*rows, *more]], "doc_id long, text string, node int, _gone int")
+    kept = simhash.one_of_each(d).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 4, 8, 12, 16, 20, 50, 51, 51, 60]
+    assert simhash.one_of_each(d.where("false")).count() == 0
 
 
 def brute_kept(rows):
@@ -117,10 +121,12 @@ def test_similarity_is_of_sets(spark):
     assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
 
 
-@pytest.mark.parametrize(("crowd", "tile"), [(12, 1024), (2, 4)])
-def test_no_link_is_lost(spark, crowd, tile, monkeypatch):
+@pytest.mark.parametrize(("crowd", "tile", "members", "nodes"), [(32, 1024, 1 << 20, 32 << 20), (2, 4, 500, 0)])
+def test_no_link_is_lost(spark, crowd, tile, members, nodes, monkeypatch):
     monkeypatch.setattr(simhash, "SIMILAR_CROWD", crowd)
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "TILE_MEMBERS", members)
+    monkeypatch.setattr(simhash, "NODE_BYTES", nodes)
     rng = random.Random(10)
     rows = around(rng, 150, 0.1, 0.21)
     base = [f"b{i}" for i in range(60)]
@@ -129,6 +135,24 @@ def test_no_link_is_lost(spark, crowd, tile, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == brute_kept(rows)
 
 
+@pytest.mark.parametrize("j", [0.8, 0.85, 0.9, 0.95])
+def test_recall_of_the_hamming_bound(j):
+    """Pairs at a similarity that lie within the bound: all of 300, at any number of other documents, as the bound depends on nothing else."""
+    rng = np.random.default_rng(13)
+    most, found = simhash.differing(Fraction(4, 5)), 0
+    for _ in range(300):
+        n = int(rng.integers(20, 600))
+        common = max(1, round(n * j))
+        h = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        a, b = h[:n], h[n - common :]
+        while len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            b = b[:-1] if len(b) > common else b
+            a = a[1:] if len(a) > common else a
+        x, y = (np.frombuffer(simhash.majority(v, simhash.LANES), np.uint8) for v in (a, b))
+        found += np.bitwise_count(x ^ y).sum() <= most
+    assert found == 300
+
+
 def test_near_dedup_stage(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
