@@ -25,7 +25,7 @@ TILE = 1024
 #: The same for shingle sets.
 SIMILAR_CROWD = 32
 #: Texts in which frequent shingles are counted, and the most of these that every task gets.
-SAMPLE, COMMON = 20_000, 1 << 15
+SAMPLE, COMMON = 5_000, 1 << 15
 SEED = 42
 _word = re.compile(r"\w+")
 
@@ -151,8 +151,10 @@ def hamming_classes(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
 
 #: Bits of the fingerprints of sets, and standard deviations that links at the similarity may lie beyond their expected distance.
 LANES, DEVIATIONS = 4, 5
+#: Sets of fewer members are compared whole, whatever their fingerprints: a few members' majorities differ more often than expected.
+SMALL = 32
 #: Shingles on a side of a tile of a group of near copies.
-TILE_MEMBERS = 1 << 20
+TILE_MEMBERS = 1 << 18
 #: Nodes, at 24 bytes, that every task gets at most; more of them are joined by a shuffle.
 NODE_BYTES = 32 << 20
 
@@ -175,7 +177,8 @@ def differing(part: Fraction) -> int:
     """Bits of 64 LANES that fingerprints of sets with a Jaccard of ``part`` differ in at most: the expected number and DEVIATIONS more.
 
     A bit differs with the chance angle / pi of the two sets' vectors, whose cosine is 2 J / (1 + J) for sets of one size and
-    greater for others. Five deviations leave out 3 pairs in 10 million that lie just at ``part``, and fewer beyond it.
+    greater for others. Five deviations leave out 3 pairs in 10 million that lie just at ``part``, and fewer beyond it. Exact sums
+    over sets of 30 to 300 members stay below that chance; smaller ones don't, hence SMALL.
     """
     chance = math.acos(min(1.0, 2 * float(part) / (1 + float(part)))) / math.pi
     return math.ceil(64 * LANES * chance + DEVIATIONS * math.sqrt(64 * LANES * chance * (1 - chance)))
@@ -231,7 +234,7 @@ def prefixes(docs: DataFrame, words: int, part: Fraction) -> DataFrame:
 
 
 def alike(rows: DataFrame, part: Fraction) -> DataFrame:
-    """a, b: edges (nodes) whose components hold every pair of sets that share a key and lie within ``differing`` bits.
+    """a, b: edges (nodes) whose components hold every pair of sets that share a key and lie within ``differing`` bits or are SMALL.
 
     rows: as ``prefixes`` has them. Buckets of up to SIMILAR_CROWD sets are joined with themselves. Larger ones are cut into parts of
     about TILE fingerprints; each two parts meet in a task that compares all their pairs and returns a spanning forest of
@@ -248,7 +251,7 @@ def alike(rows: DataFrame, part: Fraction) -> DataFrame:
     b = a.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), *[F.col(f).alias(f"_{f}") for f in lanes])
     apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"_{f}"))) for f in lanes), F.lit(0))
     common = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
-    pairs = a.join(b, "key").where((F.col("node") < F.col("b")) & enough(common, F.col("n"), F.col("m"), part) & (apart <= most)).select(F.col("node").alias("a"), "b")
+    pairs = a.join(b, "key").where((F.col("node") < F.col("b")) & enough(common, F.col("n"), F.col("m"), part) & ((apart <= most) | (F.least("n", "m") < SMALL))).select(F.col("node").alias("a"), "b")
     parts = F.ceil(F.col("met") / TILE).cast("int")
     crowd = near.where(F.col("met") > SIMILAR_CROWD).withColumn("p", F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int"))
     tiles = crowd.withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "n", *lanes)
@@ -261,7 +264,8 @@ def alike(rows: DataFrame, part: Fraction) -> DataFrame:
         for x in np.flatnonzero(p == i).tolist():
             y = right[(right > x) & (tree[right] != tree[x])] if i == j else right[tree[right] != tree[x]]
             y = y[enough(np.minimum(n[x], n[y]), n[x], n[y], part)]
-            for z in y[np.bitwise_count(f[y] ^ f[x]).sum(axis=1, dtype=np.int64) <= most].tolist():
+            close = (np.bitwise_count(f[y] ^ f[x]).sum(axis=1, dtype=np.int64) <= most) | (np.minimum(n[x], n[y]) < SMALL)
+            for z in y[close].tolist():
                 if tree[z] != tree[x]:
                     tree[tree == tree[z]] = tree[x]
                     out.append((node[x], node[z]))

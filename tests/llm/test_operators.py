@@ -114,6 +114,16 @@ def test_similarity_is_exact(spark):
     assert sorted(r["doc_id"] for r in kept) == brute_kept(rows) and 60 < len(kept) < 120
 
 
+def test_small_sets(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(150):
+        w = [f"w{rng.randrange(30000)}" for _ in range(rng.randrange(8, 40))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[rng.randrange(3) :] + ["more"] * rng.randrange(2)))]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(rows) and 150 < len(kept) < 300
+
+
 def test_similarity_is_of_sets(spark):
     rng = random.Random(9)
     line = " ".join(f"l{i}" for i in range(30))
@@ -141,7 +151,7 @@ def test_recall_of_the_hamming_bound(j):
     rng = np.random.default_rng(13)
     most, found = simhash.differing(Fraction(4, 5)), 0
     for _ in range(300):
-        n = int(rng.integers(20, 600))
+        n = int(rng.integers(simhash.SMALL, 600))
         common = max(1, round(n * j))
         h = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
         a, b = h[:n], h[n - common :]
