@@ -17,8 +17,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Distinct words that a task's table holds before it is started anew: 64 MB or so.
-HELD = 400_000
+from kinweave.llm.common import portions
+
+#: Distinct words that a task's table holds before it is started anew: 30 MB or so.
+HELD = 150_000
 #: The split of byte-level BPE vocabularies of this kind into words.
 _words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
 #: The same for texts of characters up to U+024F but a few, where the standard library's classes agree; it is faster.
@@ -91,8 +93,7 @@ def encode(docs: DataFrame, tokenizer_path: str, held_words: int = HELD, with_id
         start = {s: array("I", [i]).tobytes() for s, i in special.items()}
         known = dict(start)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in portions(whole, "text"):
                 texts = [split(t or "", data) for t in b.column(1).to_pylist()]
                 if len(known) > held_words:
                     known = dict(start)

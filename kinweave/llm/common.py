@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset there is none: on a cluster no other folder is shared."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kinweave-work"  # one machine: tests and benches
     if not at:
-        app = spark.sparkContext.applicationId
-        at = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="kinweave-"))
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return at.rstrip("/")
 
 
@@ -48,3 +48,16 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def portions(b: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of about ``size`` bytes of ``column`` (a string column), of one row at least: what a task unpacks at once is bounded."""
+    lengths = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        held += n + 64
+        if held >= size:
+            yield b.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < b.num_rows:
+        yield b.slice(start)

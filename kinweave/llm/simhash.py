@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded, fresh, written
+from kinweave.llm.common import bounded, fresh, portions, written
 from kinweave.llm.graph import components, thinned, top
 
 #: Fingerprints of a bucket that are compared pair by pair in a join; larger buckets are linked in other, exact ways.
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, bare: bool = F
     schema = pa.schema([("doc_id", pa.int64()), *[(f"f{i}", pa.int64()) for i in range(lanes)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in portions(whole, "text")):
             got = b"".join(majority(_hashes(of(t or ""), words), lanes) for t in b.column(1).to_pylist())
             f = np.frombuffer(got, ">u8").astype(np.uint64).view(np.int64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(f[:, i])) for i in range(lanes)]], schema=schema)
@@ -218,11 +218,11 @@ def prefixes(docs: DataFrame, words: int, part: Fraction) -> DataFrame:
         return h[np.lexsort((h, times))[:first]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole in batches:
             seen: set[int | None] = set()
-            for at in range(0, b.num_rows, 200):
+            for b in portions(whole, "text"):
                 rows = []
-                for i in range(at, min(at + 200, b.num_rows)):
+                for i in range(b.num_rows):
                     h = shingle_set(b.column(1)[i].as_py(), words)
                     node = _node(h)
                     f = np.frombuffer(majority(h, LANES), ">u8").astype(np.uint64).view(np.int64).tolist()
@@ -295,11 +295,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, words: int, part: Fraction)
     schema = pa.schema([("node", pa.int64()), ("said", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole in batches:
             seen: set[int | None] = set()
-            for at in range(0, b.num_rows, 200):
+            for b in portions(whole, "text"):
                 rows = []
-                for i in range(at, min(at + 200, b.num_rows)):
+                for i in range(b.num_rows):
                     h = shingle_set(b.column(0)[i].as_py(), words)
                     if len(h) and (node := _node(h)) not in seen:
                         seen.add(node)
@@ -333,7 +333,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, words: int, part: Fraction)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("root", "i", "j", "p", "node", "said")
-        stream = (row for b in batches for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True))
+        stream = (row for whole in batches for b in portions(whole, "said") for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True))
         for (_, i, j), group in groupby(stream, key=lambda r: r[:3]):
             a, b = links([r[3:] for r in group], i, j)
             if a:

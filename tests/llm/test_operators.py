@@ -184,6 +184,35 @@ def test_quality(spark):
     assert quality.classify(d.where("false"), labels.where("false")).count() == 0
 
 
+def test_quality_long_and_clashes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    field = quality.Field(rng.normal(size=quality.BASE + 2 * quality.AROUND), rng.normal(size=(2, 2)), (1.0, 0.2), 0.4)
+    texts = ["\n".join("".join(rng.choice(list("aB1 !.#"), rng.integers(0, 30))) for _ in range(n)) for n in (0, 1, 2, 7, 300, 2500)] + ["a\n\n b\n", "x" * 5000]
+    want = []
+    for t in texts:  # each text by itself, one whole sequence
+        x, size, counts = quality.line_features([t])
+        good = (x @ field.weights)[None, :]
+        p = quality.forward_backward(good, np.ones(good.shape, bool), field.move)[0]
+        want.append(np.nan if not counts[0] else (p[0] * size).sum() / size.sum())
+    assert np.allclose(field.means(texts), want, equal_nan=True)
+    for name, value in (("CELLS", 50), ("LONG", 5), ("PART", 40)):
+        monkeypatch.setattr(quality, name, value)
+    assert np.allclose(field.means(texts), want, equal_nan=True)
+    assert np.isclose(quality.long_mean(np.array([0.3, -2, 5, 0.1, 900]), np.arange(1, 6.0), field.move, 2), quality.long_mean(np.array([0.3, -2, 5, 0.1, 900]), np.arange(1, 6.0), field.move))
+    d = spark.createDataFrame([(1, "good text", 0.1, 5, "t", "p")], "doc_id long, text string, score double, predicted int, _text string, _score string")
+    assert quality.accepted(d, quality.Field(field.weights * 0, field.move * 0, (1.0, 9.0), 0.9)).collect() == d.collect()
+    assert quality.score(d, field, tuple(d.columns)).columns == ["doc_id", "text", "_text", "_score", "score", "predicted"]
+
+
+def test_quality_million_lines():
+    import resource
+
+    field = quality.Field(np.ones(quality.BASE + 2 * quality.AROUND) * 0.01, np.zeros((2, 2)), (1.0, 0.0), 0.5)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = field.means(["short", "a b\n" * 300_000, *["x\ny"] * 63])
+    assert 0 < got[1] < 1 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
 def test_field_against_enumeration():
     rng = np.random.default_rng(0)
     good, move = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
