@@ -30,15 +30,26 @@ def number_relation(a: Column, b: Column) -> Column:
 
 
 def order_fraction(a: Column, b: Column) -> Column:
-    """Of the distinct words of ``a`` that ``b`` has, the share of neighbours that come in the same order in ``b``, by first
-    places; null for fewer than two."""
-    places = F.transform(F.array_intersect(a, b), lambda w: F.array_position(b, w))
-    steps = F.zip_with(F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), lambda x, y: (x < y).cast("int"))
-    return F.when(F.size(places) >= 2, F.aggregate(steps, F.lit(0), lambda s, v: s + v) / (F.size(places) - 1))
+    """Of the words of ``a`` that ``b`` has, repeats included, the share of neighbours that come in the same order in ``b``, by the last
+    place there; null for fewer than two."""
+    last = lambda w: F.size(b) - F.array_position(F.reverse(b), w)
+    places = F.transform(F.filter(a, lambda w: F.array_contains(b, w)), last)
+    steps = lambda p: F.size(F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.get(p, i - 1) < F.get(p, i)))
+    return F.transform(F.array(places), lambda p: F.when(F.size(p) >= 2, steps(p) / (F.size(p) - 1)))[0]
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common beginning over the shorter length; 0 where one is empty."""
+    """Length of the common beginning over the shorter length; null where one is empty."""
     least = F.least(F.length(a), F.length(b))
     upto = F.filter(F.sequence(F.lit(0), least), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.when(least == 0, 0.0).otherwise((F.size(upto) - 1) / least)
+    return F.when(least > 0, (F.size(upto) - 1) / least)
+
+
+def number_features(a: Column, b: Column) -> dict[str, Column]:
+    """nf_eq, nf_lev, nf_contain (one begins or ends with the other, equal ones too), nf_logdiff (of the first 15 digits) of two digit
+    strings; null where one is empty."""
+    known = (F.length(a) > 0) & (F.length(b) > 0)
+    near = a.startswith(b) | b.startswith(a) | a.endswith(b) | b.endswith(a)
+    apart = F.abs(F.substring(a, 1, 15).cast("long") - F.substring(b, 1, 15).cast("long"))
+    features = {"nf_eq": (a == b).cast("int"), "nf_lev": F.levenshtein(a, b), "nf_contain": near.cast("int"), "nf_logdiff": F.round(F.log1p(apart), 6)}
+    return {name: F.when(known, c) for name, c in features.items()}

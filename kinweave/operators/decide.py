@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import decision
+from kinweave.operators import pairs
 
 
 def by_threshold(p: DataFrame, score: str, least: float) -> DataFrame:
@@ -73,3 +74,34 @@ def country_report(p: DataFrame, score: str, least: float, s1: DataFrame) -> Dat
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
     k = F.coalesce("k", F.lit(0))
     return x.groupBy("country").agg(F.count("*").alias("n"), share(k > 0).alias("matched"), share(k).alias("mean_matches"), F.round(F.percentile("best", 0.5), 6).alias("median_best"), share(F.col("best").isNull()).alias("without"))
+
+
+def decide(p: DataFrame, score: str, how: dict) -> DataFrame:
+    """Accepted pairs: each target's best claimant alone if ``many_to_one``, then the threshold ``tau`` or the greatest expected F."""
+    if how.get("many_to_one"):
+        p = pairs.many_to_one(p, score)
+    if how["type"] == "threshold":
+        return by_threshold(p, score, how["tau"]).select("s1_id", "tgt_id")
+    return expected_f_select(p, score, how.get("most", 12)).select("s1_id", "tgt_id")
+
+
+def perfect_matcher(candidates: DataFrame, truth: DataFrame, s1: DataFrame, beta: float = 0.5) -> DataFrame:
+    """per_entity of a matcher that accepts exactly the true candidates: the ceiling of F."""
+    return pairs.per_entity(candidates.select("s1_id", "tgt_id").join(truth, ["s1_id", "tgt_id"], "left_semi"), truth, s1, beta)
+
+
+def error_report(accepted: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
+    """country, n_true (6 stands for more), n, macro_f, false_positives, false_negatives of the records of ``s1`` (s1_id, country)."""
+    per = pairs.per_entity(accepted, truth, s1).join(s1.select("s1_id", "country").distinct(), "s1_id")
+    g = per.groupBy("country", F.least("n_true", F.lit(6)).alias("n_true"))
+    return g.agg(F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("macro_f"), F.sum(F.col("n_pred") - F.col("tp")).alias("false_positives"), F.sum(F.col("n_true") - F.col("tp")).alias("false_negatives"))
+
+
+def stressed(p: DataFrame, share: float = 0.2) -> DataFrame:
+    """Scored pairs without those of a sample of reference records: their targets become orphans."""
+    return p.where(~pairs.orphan(F.col("s1_id"), share))
+
+
+def mean_scores(a: DataFrame, b: DataFrame, score: str) -> DataFrame:
+    """s1_id, tgt_id and the mean of two tables' scores, of pairs that both have."""
+    return a.select("s1_id", "tgt_id", F.col(score).alias("_a")).join(b.select("s1_id", "tgt_id", F.col(score).alias("_b")), ["s1_id", "tgt_id"]).select("s1_id", "tgt_id", ((F.col("_a") + F.col("_b")) / 2).alias(score))

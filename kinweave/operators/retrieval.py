@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,31 @@ def unit_weights(e: DataFrame, tf: DataFrame) -> DataFrame:
     return w.join(norm, ["country", "k", "entity_id"]).select("country", "k", "entity_id", "f", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def top_k(queries: DataFrame, targets: DataFrame, k: int, max_df: int, max_feats: int | None = None) -> DataFrame:
-    """s1_id, tgt_id, score, rk: the k targets of each query with the greatest dot product over features that at most
-    ``max_df`` targets have (of these a query's ``max_feats`` heaviest); ties by tgt_id. Queries and targets: country, entity_id, f, w.
+#: Of the targets of a country and source, the share that may have a feature; never fewer than LEAST_DF targets.
+DF_SHARE, LEAST_DF = {"n": 0.003, "a": 0.003, "na": 0.01}, 1000
+
+
+def combined(n: DataFrame, a: DataFrame) -> DataFrame:
+    """The two views side by side, each at half the square: cosines are the mean of both."""
+    half = lambda w, v: w.select("country", "k", "entity_id", F.concat(F.lit(f"{v}:"), "f").alias("f"), (F.col("w") * 0.5**0.5).alias("w"))
+    return half(n, "n").unionByName(half(a, "a"))
+
+
+def top_k(queries: DataFrame, targets: DataFrame, k: int, share: float = 0.003, max_feats: int | None = None, least: int = LEAST_DF) -> DataFrame:
+    """s1_id, tgt_id, score, rk: the k targets of each query with the greatest dot product over features that at most ``least`` targets of its
+    country, or a ``share`` of them if that is more, have (of these a query's ``max_feats`` heaviest); ties by tgt_id.
+    Queries and targets (of one source): country, entity_id, f, w.
 
     The cap on posting lists bounds what one feature adds to the join; ranks are limited before the shuffle.
     """
-    rare = targets.groupBy("country", "f").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("country", "f")
+    n = targets.groupBy("country").agg(F.count_distinct("entity_id").alias("n"))
+    most = F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("n")))
+    rare = targets.groupBy("country", "f").agg(F.count("*").alias("df")).join(n, "country").where(F.col("df") <= most).select("country", "f")
     q = queries.join(rare, ["country", "f"])
     if max_feats:
         heaviest = Window.partitionBy("country", "entity_id").orderBy(F.desc(F.round("w", 9)), "f")
         q = q.withColumn("rk", F.row_number().over(heaviest)).where(F.col("rk") <= max_feats).drop("rk")
-    t = targets.join(rare, ["country", "f"]).select("country", "f", F.col("entity_id").alias("tgt_id"), F.col("w").alias("wt"))
+    t = targets.select("country", "f", F.col("entity_id").alias("tgt_id"), F.col("w").alias("wt"))
     scores = q.select("country", "f", F.col("entity_id").alias("s1_id"), "w").join(t, ["country", "f"]).groupBy("country", "s1_id", "tgt_id").agg(F.round(F.sum(F.col("w") * F.col("wt")), 6).alias("score"))
     best = Window.partitionBy("s1_id").orderBy(F.desc("score"), "tgt_id")
     return scores.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).select("s1_id", "tgt_id", "score", F.col("rk").cast("long").alias("rk"))
@@ -66,9 +81,53 @@ def union_via(*parts: tuple[DataFrame, int]) -> DataFrame:
     return out.groupBy("s1_id", "tgt_id").agg(F.bit_or("via").cast("int").alias("via"))
 
 
+def vectors(w: DataFrame) -> DataFrame:
+    """entity_id, v: each record's weights as a map, so that a pair's cosine needs one row of each side."""
+    return w.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("f", "w"))).alias("v"))
+
+
 def pair_cosine(pairs: DataFrame, w: DataFrame, name: str) -> DataFrame:
-    """``pairs`` with the exact cosine of their records; 0 where they share no feature."""
-    a = w.select(F.col("entity_id").alias("s1_id"), "f", F.col("w").alias("wa"))
-    b = w.select(F.col("entity_id").alias("tgt_id"), "f", F.col("w").alias("wb"))
-    dot = pairs.select("s1_id", "tgt_id").join(a, "s1_id").join(b, ["tgt_id", "f"]).groupBy("s1_id", "tgt_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias(name))
-    return pairs.join(dot, ["s1_id", "tgt_id"], "left").fillna(0.0, [name])
+    """``pairs`` with the exact cosine of their records; 0 where they share no feature. A record's features are bounded by its text."""
+    v = vectors(w)
+    p = pairs.join(v.select(F.col("entity_id").alias("s1_id"), F.col("v").alias("_a")), "s1_id", "left").join(v.select(F.col("entity_id").alias("tgt_id"), F.col("v").alias("_b")), "tgt_id", "left")
+    products = F.transform(F.map_entries("_a"), lambda e: e["value"] * F.coalesce(F.try_element_at(F.col("_b"), e["key"]), F.lit(0.0)))
+    return p.withColumn(name, F.round(F.coalesce(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), 6)).select(*pairs.columns, name)
+
+
+@dataclass(frozen=True)
+class Blocking:
+    """How many targets a record gets in each view (forward), how many records a target gets (reverse), a query's heaviest features, and the
+    greatest group of equal names."""
+
+    forward: dict = field(default_factory=lambda: {"n": 15, "a": 15, "na": 30})
+    reverse: dict = field(default_factory=lambda: {"na": 3})
+    features: dict = field(default_factory=lambda: {"na": 10})
+    group: int = 5
+
+
+#: Bits of ``via``: which search found a pair.
+FORWARD_BIT, REVERSE_BIT, EXACT_BIT = {"n": 1, "a": 2, "na": 4}, {"n": 8, "a": 16, "na": 32}, 64
+
+
+def candidates(e: DataFrame, views: dict[str, DataFrame], blocking: Blocking) -> DataFrame:
+    """country, tgt_src, s1_id, tgt_id, via, cos_n, cos_a, cos_na: candidates of all reference records among the targets of sources 2 and 3.
+
+    e: country, k, entity_id, name. views: the unit weights of n, a and na.
+    """
+    out = None
+    for src in (2, 3):
+        parts = []
+        for v, k in blocking.forward.items():
+            w = views[v]
+            parts.append((top_k(w.where("k = 1"), w.where(F.col("k") == src), k, DF_SHARE[v], blocking.features.get(v)), FORWARD_BIT[v]))
+        for v, k in blocking.reverse.items():
+            w = views[v]
+            back = top_k(w.where(F.col("k") == src), w.where("k = 1"), k, DF_SHARE[v], blocking.features.get(v))
+            parts.append((back.select(F.col("s1_id").alias("tgt_id"), F.col("tgt_id").alias("s1_id")), REVERSE_BIT[v]))
+        parts.append((exact_core(e.where(F.col("k").isin(1, src)), blocking.group, 4 * blocking.group), EXACT_BIT))
+        found = union_via(*parts).withColumn("tgt_src", F.lit(src))
+        out = found if out is None else out.unionByName(found)
+    out = out.join(e.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id")
+    for v in ("n", "a", "na"):
+        out = pair_cosine(out, views[v], f"cos_{v}")
+    return out.select("country", "tgt_src", "s1_id", "tgt_id", "via", "cos_n", "cos_a", "cos_na")

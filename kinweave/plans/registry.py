@@ -1,170 +1,371 @@
-"""Every registered query of the linkage engine, with its SQL, over the linkage view of the documents table."""
+"""Registered queries of sources, normalisation, retrieval, pruning, context and decision, each with its SQL, over the linkage view of the documents table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinweave.functions import decision, similarity, text
-from kinweave.operators import pairs, retrieval
+from kinweave.functions import address, decision, text
+from kinweave.operators import decide, pairs, retrieval
+from kinweave.plans import sql
+from kinweave.plans.sql import ENTITY, EXACT, NA, PAIRS, RANKS, TOPA, TOPN, A, N
 from kinweave.sources import entities as src
+from kinweave.sources import work
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-_ENTITY = r"""WITH d0 AS (SELECT doc_id, lang AS country, source[4:]::INT % 3 + 1 AS k, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS t, lower(text)[1:200] AS head FROM documents),
-entity AS (SELECT country, k, doc_id, 'S' || k || '-' || doc_id AS entity_id, array_to_string(t[1:6], ' ') AS name, array_to_string(t[1:6], '') AS compact, trim((doc_id % 97) || ' ' || array_to_string(t[7:12], ' ')) AS addr, head FROM d0),
-truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS tgt_id FROM entity a JOIN entity b ON a.country = b.country AND a.head = b.head AND a.k = 1 AND b.k > 1)"""
-_W = """,
-{v}tf AS (SELECT country, k, entity_id, f, count(*) AS tf FROM (SELECT country, k, entity_id, unnest({grams}) AS f FROM entity) GROUP BY ALL),
-{v}x AS (SELECT t.*, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS x FROM {v}tf t JOIN (SELECT country, f, count(*) AS df FROM {v}tf GROUP BY ALL) USING (country, f) JOIN (SELECT country, count(*) AS n FROM entity GROUP BY ALL) USING (country)),
-{v}w AS (SELECT country, k, entity_id, f, x / sqrt(sum(x * x) OVER (PARTITION BY entity_id)) AS w FROM {v}x)"""
-_N = _W.format(v="n", grams="list_transform(range(1, length(compact) + 1), lambda i: substr('^^' || compact || '$', i, 4))")
-_A = _W.format(v="a", grams="list_filter(string_split(addr, ' '), lambda x: x <> '')")
-_TOP = """,
-{o}r AS (SELECT country, f FROM {v}w WHERE k = 2 GROUP BY ALL HAVING count(*) <= {df}),
-{o}q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(w, 9) DESC, f) AS rk FROM {v}w JOIN {o}r USING (country, f) WHERE k = 1) WHERE rk <= {feats}),
-{o}s AS (SELECT q.entity_id AS s1_id, t.entity_id AS tgt_id, round(sum(q.w * t.w), 6) AS score FROM {o}q q JOIN {v}w t USING (country, f) WHERE t.k = 2 GROUP BY ALL),
-{o} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, tgt_id) AS rk FROM {o}s) WHERE rk <= {k})"""
-_TOPN, _TOPA = _TOP.format(o="tn", v="n", df=30, feats=1000000, k=3), _TOP.format(o="ta", v="a", df=30, feats=10, k=3)
-_PAIRS = f"{_ENTITY}{_N}{_A}{_TOPN}{_TOPA},\nscored AS (SELECT s1_id, tgt_id, max(score) AS p FROM (SELECT s1_id, tgt_id, score FROM tn UNION ALL SELECT s1_id, tgt_id, score FROM ta) GROUP BY ALL)"
-
-
-def query(name: str, sql: str | None = None):
+
+def query(name: str, oracle: str | None = None):
     def put(fn):
         QUERIES[name] = fn
-        if sql:
-            ORACLE_SQL[name] = sql
+        if oracle:
+            ORACLE_SQL[name] = oracle
         return fn
 
     return put
 
 
-def _weights(spark, d, view):
-    e = src.entities(spark, d)
-    return retrieval.unit_weights(e, retrieval.term_counts(e, view))
+# ---- what several queries read, written once
+
+
+def weights(spark, d, view):
+    """Unit weights of the name view (n), the address view (a), or both (na)."""
+    if view == "na":
+        return retrieval.combined(weights(spark, d, "n"), weights(spark, d, "a"))
+
+    def build():
+        e = src.entities(spark, d)
+        return retrieval.unit_weights(e, retrieval.term_counts(e, view))
+
+    return work.once(spark, f"weights_{view}", d, build, ("k",))
+
+
+def search(spark, d, view, feats=None, k=3):
+    """Forward search among the targets of each source."""
+    w = weights(spark, d, view)
+    found = [retrieval.top_k(w.where("k = 1"), w.where(F.col("k") == s), k, retrieval.DF_SHARE[view], feats) for s in (2, 3)]
+    return found[0].unionByName(found[1])
+
+
+def scored(spark, d):
+    """s1_id, tgt_id, p: pairs found by name or by address, with the better cosine."""
 
+    def build():
+        both = search(spark, d, "n").unionByName(search(spark, d, "a", feats=10))
+        return both.groupBy("s1_id", "tgt_id").agg(F.max("score").alias("p"))
 
-def _top(spark, d, view, max_df=30, feats=None, k=3):
-    w = _weights(spark, d, view)
-    return retrieval.top_k(w.where("k = 1"), w.where("k = 2"), k, max_df, feats)
+    return work.once(spark, "scored", d, build)
 
 
-def _scored(spark, d):
-    both = _top(spark, d, "n").unionByName(_top(spark, d, "a", feats=10))
-    return both.groupBy("s1_id", "tgt_id").agg(F.max("score").alias("p"))
+def found(spark, d):
+    """The candidates of all searches, forward and reverse, with three cosines."""
 
+    def build():
+        blocking = retrieval.Blocking(forward={"n": 3, "a": 3, "na": 5}, reverse={"na": 2}, features={"a": 10, "na": 10})
+        views = {v: weights(spark, d, v) for v in ("n", "a", "na")}
+        return retrieval.candidates(src.entities(spark, d), views, blocking)
 
-def _s1(spark, d):
-    return src.entities(spark, d).where("k = 1").select(F.col("entity_id").alias("s1_id"))
+    return work.once(spark, "candidates", d, build, ("country", "tgt_src"))
 
 
-@query("io_id_lists", f"{_ENTITY} SELECT e.entity_id AS s1_id, coalesce(string_agg(DISTINCT tgt_id, ',' ORDER BY tgt_id), '') AS ids FROM entity e LEFT JOIN truth ON e.entity_id = s1_id WHERE k = 1 GROUP BY 1")
+def s1(spark, d):
+    return src.entities(spark, d).where("k = 1").select(F.col("entity_id").alias("s1_id"), "country")
+
+
+def truth(spark, d):
+    return src.truth(src.entities(spark, d))
+
+
+# ---- sources
+
+
+@query(
+    "io_id_lists",
+    f"""{ENTITY}
+SELECT e.entity_id AS s1_id, coalesce(string_agg(DISTINCT tgt_id, ',' ORDER BY tgt_id), '') AS ids FROM entity e LEFT JOIN truth ON e.entity_id = s1_id WHERE k = 1 GROUP BY 1""",
+)
 def io_id_lists(spark, d):
-    e = src.entities(spark, d)
-    return src.id_lists(_s1(spark, d), src.truth(e))
+    return src.id_lists(s1(spark, d), truth(spark, d))
 
 
-@query("io_truth_explode", f"{_ENTITY} SELECT DISTINCT s1_id, tgt_id FROM truth")
+@query("io_truth_explode", f"{ENTITY} SELECT DISTINCT s1_id, tgt_id FROM truth")
 def io_truth_explode(spark, d):
-    lists = io_id_lists(spark, d).select(F.col("s1_id").alias("source1_entity_id"), F.col("ids").alias("matched_entity_ids"))
-    return src.explode_truth(lists)
+    return src.explode_truth(io_id_lists(spark, d).select(F.col("s1_id").alias("source1_entity_id"), F.col("ids").alias("matched_entity_ids")))
+
+
+@query("io_known_truth", f"{ENTITY} SELECT DISTINCT s1_id, tgt_id, a.country, b.k AS tgt_src FROM truth JOIN entity a ON a.entity_id = s1_id JOIN entity b ON b.entity_id = tgt_id")
+def io_known_truth(spark, d):
+    e = src.entities(spark, d)
+    return work.known_truth(src.truth(e).distinct(), e.where("k = 1"), e.where("k > 1"))
 
 
-def _text_query(name, col, sql):
-    @query(name, f"{_ENTITY} SELECT doc_id, {sql} AS v FROM documents")
+@query("io_names_of", f"{ENTITY} SELECT entity_id, name FROM entity SEMI JOIN truth ON entity_id = tgt_id")
+def io_names_of(spark, d):
+    return work.names_of(src.entities(spark, d), truth(spark, d).select("tgt_id"))
+
+
+@query("io_load_table", f"{PAIRS} SELECT s1_id, tgt_id FROM scored WHERE p >= 0.5")
+def io_load_table(spark, d):
+    path = f"{work.work_dir(spark)}/{spark.sparkContext.applicationId}/load-{abs(hash(d))}"
+    work.write_table(scored(spark, d).withColumn("tgt_src", pairs.source()), path, ("tgt_src",))
+    return work.load_table(spark, f"{path}/*", ["s1_id", "tgt_id"], "p >= 0.5")
+
+
+# ---- normalisation of whole texts
+
+
+def _text_query(name, value, oracle):
+    @query(name, f"SELECT doc_id, {oracle} AS v FROM documents" if oracle else None)
     def run(spark, d):
-        return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", col().alias("v"))
+        return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", value().alias("v"))
+
+
+_TOK = """list_transform(list_filter(string_split(trim(regexp_replace(replace(lower(text), '.', ''), '[^a-z0-9ऀ-ൿ]+', ' ', 'g')), ' '), lambda x: x <> ''),
+  lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND length(regexp_replace(t, '[^a-z]', '', 'g')) >= 3 THEN translate(t, '0134578', 'oleastb') ELSE t END)"""
+_LEGAL = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in text.LEGAL.items()) + "}"
+_KEPT = f"list_filter({_TOK}, lambda t: NOT list_contains({[*text.LEGAL, *text.NAME_STOP]!r}, t))"
+_text_query("norm_ocr_tokens", lambda: F.array_join(text.tokens(F.lower("text")), " "), f"array_to_string({_TOK}, ' ')")
+_text_query(
+    "norm_legal_forms",
+    lambda: text.legal_forms(text.tokens(F.lower("text"))),
+    f"coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform({_TOK}, lambda t: {_LEGAL}[t]), lambda x: x IS NOT NULL))), ' '), '')",
+)
+_text_query(
+    "norm_name_core",
+    lambda: text.name_core(text.tokens(F.lower("text"))),
+    f"array_to_string(list_filter(list_transform(list_zip(kept, list_prepend('', kept)), lambda z: CASE WHEN z[1] IS NOT NULL AND z[1] <> z[2] THEN z[1] END), lambda t: t IS NOT NULL), ' ')",
+)
+ORACLE_SQL["norm_name_core"] = ORACLE_SQL["norm_name_core"].replace("FROM documents", f"FROM (SELECT doc_id, {_KEPT} AS kept FROM documents)")
+_NUMBERS = "list_transform(regexp_extract_all(lower(text), '([0-9]+)', 1), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)"
+
+
+@query("norm_numbers", f"SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(n, range(1, len(n) + 1)), lambda p: list_position(n, p[1]) = p[2]), lambda p: p[1]), ',') AS v FROM (SELECT doc_id, {_NUMBERS} AS n FROM documents)")
+def norm_numbers(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(text.numbers(F.lower("text")), ",").alias("v"))
 
 
-def _head():
-    return F.substring(F.lower("text"), 1, 120)
+_FOLDED = "replace(replace(replace(lower(text), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss')"
+_text_query("norm_fold_latin", lambda: text.fold(F.col("text")), f"translate({_FOLDED}, '{text.FOLD_FROM + text.LONE_FROM + text.DROPPED}', '{(text.FOLD_TO + text.LONE_TO).replace(chr(39), chr(39) * 2)}')")
+_text_query(
+    "nn_fixed_width",
+    lambda: text.fixed_width(F.col("source"), F.col("text")),
+    "rpad(coalesce(source, ''), 40, '~') || rpad(CASE WHEN length(text) > 72 THEN substr(text, 1, 55) || '^' || right(text, 16) ELSE coalesce(text, '') END, 72, '~')",
+)
 
 
-_SQL_HEAD = "substr(lower(text), 1, 120)"
-_SQL_TOK = f"list_transform(list_filter(string_split(trim(regexp_replace(replace({_SQL_HEAD}, '.', ''), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND length(regexp_replace(t, '[^a-z]', '', 'g')) >= 3 THEN translate(t, '0134578', 'oleastb') ELSE t END)"
-_LEGAL_SQL = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in text.LEGAL.items()) + "}"
-_text_query("norm_ocr_tokens", lambda: F.array_join(text.tokens(_head()), " "), f"array_to_string({_SQL_TOK}, ' ')")
-_text_query("norm_legal_forms", lambda: text.legal_forms(text.tokens(_head())), f"coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform({_SQL_TOK}, lambda t: {_LEGAL_SQL}[t]), lambda x: x IS NOT NULL))), ' '), '')")
-_text_query("norm_name_core", lambda: text.name_core(text.tokens(_head())), f"array_to_string(list_reduce(list_filter({_SQL_TOK}, lambda t: NOT list_contains({[*text.LEGAL, *text.NAME_STOP]!r}, t)), lambda a, t: CASE WHEN a[-1] = t THEN a ELSE list_append(a, t) END, CAST([] AS VARCHAR[])), ' ')")
-_text_query("norm_numbers", lambda: F.array_join(text.numbers(F.lower("text")), ","), "array_to_string(list_transform(list_filter(list_zip(n, range(1, len(n) + 1)), lambda p: list_position(n, p[1]) = p[2]), lambda p: p[1]), ',') FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '([0-9]+)', 1), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END) AS n FROM documents) x --")
-ORACLE_SQL["norm_numbers"] = ORACLE_SQL["norm_numbers"].replace("x -- AS v FROM documents", "x").replace("',') FROM (", "',') AS v FROM (")
-_text_query("norm_fold_latin", lambda: text.fold(F.substring("text", 1, 200)), f"translate(replace(replace(replace(replace(replace(replace(replace(lower(substr(text, 1, 200)), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), 'ø', 'o'), '’', ''''), '–', '-'), '—', '-'), '{text.FOLD_FROM}', '{text.FOLD_TO}')")
-_text_query("nn_fixed_width", lambda: text.fixed_width(F.substring("text", 1, 30), F.substring("text", 31, 90)), "rpad(substr(text, 1, 30), 40, '~') || rpad(CASE WHEN length(substr(text, 31, 90)) > 72 THEN substr(substr(text, 31, 90), 1, 55) || '^' || right(substr(text, 31, 90), 16) ELSE substr(text, 31, 90) END, 72, '~')")
+@query("norm_name")
+def norm_name(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.normal_name(F.col("text")).alias("n")).select("doc_id", "n.*")
 
 
-@query("blk_char4_tf", f"{_ENTITY}{_N} SELECT entity_id, f, tf FROM ntf")
+@query("norm_address")
+def norm_address(spark, d):
+    states = {lang: address.STATES["US"] for lang in ("en", "fr", "de", "es")}
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", address.normal_address(F.col("text"), F.col("lang"), states).alias("a")).select("doc_id", "a.*")
+
+
+# ---- retrieval
+
+
+@query("blk_char4_tf", f"{ENTITY}{N} SELECT entity_id, f, tf FROM ntf")
 def blk_char4_tf(spark, d):
     return retrieval.term_counts(src.entities(spark, d), "n").select("entity_id", "f", "tf")
 
 
-@query("blk_word_tf", f"{_ENTITY}{_A} SELECT entity_id, f, tf FROM atf")
+@query("blk_char3_tf", f"""{ENTITY} SELECT entity_id, f, count(*) AS tf FROM (SELECT entity_id, unnest(list_transform(range(1, length(compact) + 1), lambda i: substr('^' || compact || '$', i, 3))) AS f FROM entity) GROUP BY ALL""")
+def blk_char3_tf(spark, d):
+    return src.entities(spark, d).select("entity_id", F.explode(retrieval.char_grams(F.col("compact"), 3)).alias("f")).groupBy("entity_id", "f").agg(F.count("*").alias("tf"))
+
+
+@query("blk_word_tf", f"{ENTITY}{A} SELECT entity_id, f, tf FROM atf")
 def blk_word_tf(spark, d):
     return retrieval.term_counts(src.entities(spark, d), "a").select("entity_id", "f", "tf")
 
 
-@query("blk_doc_freq", f"{_ENTITY}{_N} SELECT country, f, count(*) AS df FROM ntf GROUP BY ALL")
+@query("blk_doc_freq", f"{ENTITY}{N} SELECT country, f, count(*) AS df FROM ntf GROUP BY ALL")
 def blk_doc_freq(spark, d):
     return retrieval.document_frequency(retrieval.term_counts(src.entities(spark, d), "n"))
 
 
-for _v in "na":
-    query(f"blk_tfidf_unit_{_v}", f"{_ENTITY}{_N if _v == 'n' else _A} SELECT entity_id, f, round(w, 6) AS w FROM {_v}w")(lambda spark, d, v=_v: _weights(spark, d, v).select("entity_id", "f", F.round("w", 6).alias("w")))
-query("blk_topk_name", f"{_ENTITY}{_N}{_TOPN} SELECT * FROM tn")(lambda spark, d: _top(spark, d, "n"))
-query("blk_topk_addr_maxfeats", f"{_ENTITY}{_A}{_TOPA} SELECT * FROM ta")(lambda spark, d: _top(spark, d, "a", feats=10))
-_EXACT = """ SELECT a.entity_id AS s1_id, b.entity_id AS tgt_id FROM (SELECT *, count(*) OVER (PARTITION BY country, name) AS n FROM entity WHERE k = 1 AND name <> '') a JOIN (SELECT *, count(*) OVER (PARTITION BY country, name) AS n FROM entity WHERE k > 1 AND name <> '') b ON a.country = b.country AND a.name = b.name WHERE a.n <= 5 AND b.n <= 20"""
-query("blk_exact_core", _ENTITY + _EXACT)(lambda spark, d: retrieval.exact_core(src.entities(spark, d)))
+for _v, _cte in (("n", N), ("a", A), ("na", N + A + NA)):
+    query(f"blk_tfidf_unit_{_v}", f"{ENTITY}{_cte} SELECT entity_id, f, round(w, 6) AS w FROM {_v}w")(lambda spark, d, v=_v: weights(spark, d, v).select("entity_id", "f", F.round("w", 6).alias("w")))
+query("blk_topk_name", f"{ENTITY}{N}{TOPN} SELECT * FROM tn")(lambda spark, d: search(spark, d, "n"))
+query("blk_topk_addr_maxfeats", f"{ENTITY}{A}{TOPA} SELECT * FROM ta")(lambda spark, d: search(spark, d, "a", feats=10))
+query("blk_topk_combined", f"{ENTITY}{N}{A}{NA}{sql.both('tc', 'na', 5, 0.01, 10)} SELECT * FROM tc")(lambda spark, d: search(spark, d, "na", feats=10, k=5))
+query("blk_exact_core", ENTITY + EXACT.format(t="k > 1"))(lambda spark, d: retrieval.exact_core(src.entities(spark, d)))
+
+
+def _reverse(o, v, k, share, feats=1_000_000):
+    """Searches of each source's targets among the reference records."""
+    return "".join(sql.top(f"{o}{s}", v, f"k = {s}", "k = 1", k, share, feats) for s in (2, 3)) + f",\n{o} AS (SELECT * FROM {o}2 UNION ALL SELECT * FROM {o}3)"
+
+
+@query("blk_topk_reverse", f"{ENTITY}{N}{_reverse('tr', 'n', 3, 0.003)} SELECT s1_id AS tgt_id, tgt_id AS s1_id, score, rk FROM tr")
+def blk_topk_reverse(spark, d):
+    w = weights(spark, d, "n")
+    back = [retrieval.top_k(w.where(F.col("k") == s), w.where("k = 1"), 3, retrieval.DF_SHARE["n"]) for s in (2, 3)]
+    return back[0].unionByName(back[1]).select(F.col("s1_id").alias("tgt_id"), F.col("tgt_id").alias("s1_id"), "score", "rk")
 
 
-@query("blk_union_via", f"{_ENTITY}{_N}{_A}{_TOPN}{_TOPA} SELECT s1_id, tgt_id, bit_or(via)::INT AS via FROM (SELECT s1_id, tgt_id, 1 AS via FROM tn UNION ALL SELECT s1_id, tgt_id, 2 FROM ta UNION ALL SELECT s1_id, tgt_id, 64 FROM ({_EXACT})) GROUP BY ALL")
+@query(
+    "blk_union_via",
+    f"""{ENTITY}{N}{A}{TOPN}{TOPA}
+SELECT s1_id, tgt_id, bit_or(via)::INT AS via FROM (SELECT s1_id, tgt_id, 1 AS via FROM tn UNION ALL SELECT s1_id, tgt_id, 2 FROM ta UNION ALL SELECT s1_id, tgt_id, 64 FROM ({EXACT.format(t="k > 1")})) GROUP BY ALL""",
+)
 def blk_union_via(spark, d):
-    return retrieval.union_via((_top(spark, d, "n"), 1), (_top(spark, d, "a", feats=10), 2), (retrieval.exact_core(src.entities(spark, d)), 64))
+    return retrieval.union_via((search(spark, d, "n"), 1), (search(spark, d, "a", feats=10), 2), (retrieval.exact_core(src.entities(spark, d)), 64))
 
 
-@query("blk_pair_cosine", f"{_PAIRS} SELECT s1_id, tgt_id, coalesce((SELECT round(sum(a.w * b.w), 6) FROM nw a JOIN nw b USING (f) WHERE a.entity_id = s1_id AND b.entity_id = tgt_id), 0) AS cos_n FROM scored")
+_CAND = f"""{ENTITY}{N}{A}{NA}{TOPN}{TOPA}{sql.both("tc", "na", 5, 0.01, 10)}{_reverse("tr", "na", 2, 0.01, 10)},
+cand AS (
+ SELECT s1_id, tgt_id, bit_or(via)::INT AS via FROM (SELECT s1_id, tgt_id, 1 AS via FROM tn UNION ALL SELECT s1_id, tgt_id, 2 FROM ta UNION ALL SELECT s1_id, tgt_id, 4 FROM tc
+  UNION ALL SELECT tgt_id, s1_id, 32 FROM tr UNION ALL SELECT s1_id, tgt_id, 64 FROM ({EXACT.format(t="k = 2")} UNION ALL {EXACT.format(t="k = 3")})) GROUP BY ALL),
+cosines AS (
+ SELECT s1_id, tgt_id, v, round(sum(a.w * b.w), 6) AS c FROM cand
+ JOIN (SELECT 'n' AS v, * FROM nw UNION ALL SELECT 'a', * FROM aw UNION ALL SELECT 'na', * FROM naw) a ON a.entity_id = s1_id
+ JOIN (SELECT 'n' AS v, * FROM nw UNION ALL SELECT 'a', * FROM aw UNION ALL SELECT 'na', * FROM naw) b USING (v, f) WHERE b.entity_id = tgt_id GROUP BY ALL),
+found AS (
+ SELECT e.country, tgt_id[2]::INT AS tgt_src, s1_id, tgt_id, via, coalesce(max(c) FILTER (WHERE v = 'n'), 0) AS cos_n, coalesce(max(c) FILTER (WHERE v = 'a'), 0) AS cos_a, coalesce(max(c) FILTER (WHERE v = 'na'), 0) AS cos_na
+ FROM cand JOIN entity e ON e.entity_id = s1_id LEFT JOIN cosines USING (s1_id, tgt_id) GROUP BY ALL)"""
+
+
+@query("blk_candidates", f"{_CAND} SELECT * FROM found")
+def blk_candidates(spark, d):
+    return found(spark, d).select("country", F.col("tgt_src").cast("int").alias("tgt_src"), "s1_id", "tgt_id", "via", "cos_n", "cos_a", "cos_na")
+
+
+@query("blk_pair_cosine", f"{PAIRS} SELECT s1_id, tgt_id, coalesce((SELECT round(sum(a.w * b.w), 6) FROM nw a JOIN nw b USING (f) WHERE a.entity_id = s1_id AND b.entity_id = tgt_id), 0) AS cos_n FROM scored")
 def blk_pair_cosine(spark, d):
-    return retrieval.pair_cosine(_scored(spark, d).select("s1_id", "tgt_id"), _weights(spark, d, "n"), "cos_n")
+    return retrieval.pair_cosine(scored(spark, d).select("s1_id", "tgt_id"), weights(spark, d, "n"), "cos_n")
 
 
-@query("sim_ratio", f"{_ENTITY} SELECT s1_id, tgt_id, jaccard FROM (SELECT 1)")
-def sim_ratio(spark, d):
-    e = src.entities(spark, d)
-    named = lambda x: e.select(F.col("entity_id").alias(f"{x}_id"), F.col("name").alias(x))
-    p = retrieval.exact_core(e).join(named("s1").withColumnRenamed("s1", "a"), "s1_id").join(e.select(F.col("entity_id").alias("tgt_id"), F.col("addr").alias("b")), "tgt_id")
-    return p.select("s1_id", "tgt_id", F.round(similarity.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.levenshtein("a", "b").alias("lev"), F.round(similarity.jaccard(similarity.words(F.col("a")), similarity.words(F.col("b"))), 6).alias("jacc"))
-
-
-ORACLE_SQL["sim_ratio"] = f"""{_ENTITY}, p AS (SELECT s1_id, tgt_id, a.name AS a, b.addr AS b FROM ({_EXACT}) x JOIN entity a ON a.entity_id = s1_id JOIN entity b ON b.entity_id = tgt_id),
-l AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 ELSE (list_reduce(range(1, length(a) + 1), lambda up, i: list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(a, i::INT, 1) = substr(b, j::INT, 1) THEN coalesce(up[j - 1], 0) + 1 ELSE greatest(up[j], coalesce(acc[-1], 0)) END), CAST([] AS BIGINT[])), list_resize(CAST([] AS BIGINT[]), length(b), 0)))[-1] END AS lcs FROM p)
-SELECT s1_id, tgt_id, round(2.0::DOUBLE * lcs / (length(a) + length(b)), 6) AS ratio, levenshtein(a, b)::INT AS lev, round(len(list_intersect(list_filter(string_split(a, ' '), lambda x: x <> ''), list_filter(string_split(b, ' '), lambda x: x <> '')))::DOUBLE / len(list_distinct(list_filter(string_split(a, ' ') || string_split(b, ' '), lambda x: x <> ''))), 6) AS jacc FROM l"""
-
-_RANKS = "row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, tgt_id) AS r1, row_number() OVER (PARTITION BY tgt_id ORDER BY p DESC, s1_id) AS rt"
-query("prune_rank_gaps", f"{_PAIRS} SELECT s1_id, tgt_id, r1 AS rk1, rt AS rkt, round(max(p) OVER (PARTITION BY s1_id) - p, 6) AS gap1, round(max(p) OVER (PARTITION BY tgt_id) - p, 6) AS gapt, count(*) OVER (PARTITION BY s1_id) AS n_s1, count(*) OVER (PARTITION BY tgt_id) AS n_tgt FROM (SELECT *, {_RANKS} FROM scored)")(lambda spark, d: pairs.rank_gaps(_scored(spark, d), "p"))
-query("prune_floor_cap", f"{_PAIRS} SELECT s1_id, tgt_id, p FROM (SELECT *, {_RANKS} FROM scored) WHERE r1 <= 2 AND p >= 0.1")(lambda spark, d: pairs.prune(_scored(spark, d), "p", 0.1, 2))
-query("ctx_group_features", f"""{_PAIRS}, r AS (SELECT *, {_RANKS} FROM scored)
-SELECT s1_id, tgt_id, r1 AS c_rank_s1, rt AS c_rank_tgt, max(p) OVER s AS c_max_s1, coalesce(max(CASE WHEN r1 > 1 THEN p END) OVER s, 0) AS c_2nd_s1, round(max(p) OVER s - p, 6) AS c_gap_s1, round(sum(p) OVER s, 6) AS c_sum_s1, (sum((p > 0.5)::INT) OVER s)::BIGINT AS c_n50_s1,
- round(CASE WHEN rt = 1 THEN p - coalesce(max(CASE WHEN rt > 1 THEN p END) OVER t, 0) ELSE p - max(p) OVER t END, 6) AS c_margin_tgt FROM r WINDOW s AS (PARTITION BY s1_id), t AS (PARTITION BY tgt_id)""")(lambda spark, d: pairs.group_features(_scored(spark, d), "p"))
-query("raw_score_shape", f"""{_PAIRS}, r AS (SELECT *, {_RANKS} FROM scored)
-SELECT s1_id, tgt_id, round(sum(p) OVER s - p, 6) AS sum_other, count(*) OVER s - 1 AS n_other, CASE WHEN r1 = 1 THEN coalesce(max(CASE WHEN r1 > 1 THEN p END) OVER s, 0) ELSE max(p) OVER s END AS max_other FROM r WINDOW s AS (PARTITION BY s1_id)""")(lambda spark, d: pairs.score_shape(_scored(spark, d), "p"))
-query("dec_many_to_one", f"{_PAIRS} SELECT s1_id, tgt_id, p FROM (SELECT *, {_RANKS} FROM scored) WHERE rt = 1")(lambda spark, d: pairs.many_to_one(_scored(spark, d), "p"))
-query("rule_boost", f"{_PAIRS} SELECT s1_id, tgt_id, CASE WHEN (s1_id, tgt_id) IN (SELECT (s1_id, tgt_id) FROM truth) THEN greatest(p, 0.95::DOUBLE) ELSE p END AS p FROM scored")(lambda spark, d: pairs.boost(_scored(spark, d), src.truth(src.entities(spark, d)), "p"))
-query("rule_exclude", f"{_PAIRS} SELECT s1_id, tgt_id, CASE WHEN (s1_id, tgt_id) IN (SELECT (s1_id, tgt_id) FROM truth) THEN 0.0::DOUBLE ELSE p END AS p FROM scored")(lambda spark, d: pairs.exclude(_scored(spark, d), src.truth(src.entities(spark, d)), "p"))
-_PER = """, pr AS (SELECT DISTINCT s1_id, tgt_id FROM scored WHERE p >= 0.5), th AS (SELECT DISTINCT s1_id, tgt_id FROM truth),
-per AS (SELECT entity_id AS s1_id, (SELECT count(*) FROM pr WHERE pr.s1_id = entity_id) AS n_pred, (SELECT count(*) FROM th WHERE th.s1_id = entity_id) AS n_true, (SELECT count(*) FROM pr JOIN th USING (s1_id, tgt_id) WHERE s1_id = entity_id) AS tp FROM entity WHERE k = 1),
+# ---- pruning, context, shape
+
+_GAPS = ", ".join(
+    f"row_number() OVER (PARTITION BY country, tgt_src, s1_id ORDER BY cos_{v} DESC, tgt_id) AS rk1_{v}, round(max(cos_{v}) OVER s - cos_{v}, 6) AS gap1_{v}, "
+    f"row_number() OVER (PARTITION BY country, tgt_src, tgt_id ORDER BY cos_{v} DESC, s1_id) AS rkt_{v}, round(max(cos_{v}) OVER t - cos_{v}, 6) AS gapt_{v}"
+    for v in ("n", "a", "na")
+)
+
+
+@query("prune_rank_gaps", f"{_CAND} SELECT *, count(*) OVER s AS n_s1, count(*) OVER t AS n_tgt, {_GAPS} FROM found WINDOW s AS (PARTITION BY country, tgt_src, s1_id), t AS (PARTITION BY country, tgt_src, tgt_id)")
+def prune_rank_gaps(spark, d):
+    return pairs.rank_gaps(blk_candidates(spark, d))
+
+
+@query("prune_floor_cap", f"{PAIRS} SELECT s1_id, tgt_id, p FROM (SELECT *, {RANKS} FROM scored) WHERE r1 <= 2 AND p >= 0.1")
+def prune_floor_cap(spark, d):
+    return pairs.prune(scored(spark, d), "p", 0.1, 2)
+
+
+def _context(prefix=""):
+    return f"""{PAIRS}, r AS (SELECT *, {RANKS}, row_number() OVER (PARTITION BY s1_id, tgt_id[1:2] ORDER BY p DESC, tgt_id) AS rs, tgt_id[1:2] AS src FROM scored)
+SELECT s1_id, tgt_id, r1 AS {prefix}c_rank_s1, rs AS {prefix}c_rank_s1src, rt AS {prefix}c_rank_tgt, max(p) OVER s AS {prefix}c_max_s1, coalesce(max(CASE WHEN r1 > 1 THEN p END) OVER s, 0) AS {prefix}c_2nd_s1,
+ round(max(p) OVER s - p, 6) AS {prefix}c_gap_s1, round(sum(p) OVER s, 6) AS {prefix}c_sum_s1, (sum((p > 0.5)::INT) OVER s)::BIGINT AS {prefix}c_n50_s1, max(p) OVER ss AS {prefix}c_max_s1src,
+ max(p) OVER t AS {prefix}c_max_tgt, (sum((p > 0.5)::INT) OVER t)::BIGINT AS {prefix}c_n50_tgt, count(*) OVER t AS {prefix}c_n_tgt,
+ round(CASE WHEN rt = 1 THEN p - coalesce(max(CASE WHEN rt > 1 THEN p END) OVER t, 0) ELSE p - max(p) OVER t END, 6) AS {prefix}c_margin_tgt
+FROM r WINDOW s AS (PARTITION BY s1_id), t AS (PARTITION BY tgt_id), ss AS (PARTITION BY s1_id, src)"""
+
+
+query("ctx_group_features", _context())(lambda spark, d: pairs.group_features(scored(spark, d), "p"))
+query("ctx_stage3", _context("q_"))(lambda spark, d: pairs.group_features(scored(spark, d), "p", "q_"))
+
+
+@query(
+    "raw_score_shape",
+    f"""{PAIRS}, r AS (SELECT *, {RANKS}, tgt_id[1:2] AS src, least(greatest(p, 0.000001::DOUBLE), 1 - 0.000001::DOUBLE) AS q FROM scored),
+e AS (SELECT *, -(q * ln(q) + (1 - q) * ln(1 - q)) AS ent, (p > 0.5)::BIGINT AS h5, (p > 0.9)::BIGINT AS h9 FROM r)
+SELECT s1_id, tgt_id, (sum(h5) OVER s - h5)::BIGINT AS g5_n05, (sum(h9) OVER s - h9)::BIGINT AS g5_n09, round(sum(p) OVER s - p, 6) AS g5_sum, round(sum(ent) OVER s - ent, 6) AS g5_ent,
+ (sum(h9) OVER ss - h9)::BIGINT AS g5_n09_same_src, (sum(h9) OVER s - sum(h9) OVER ss)::BIGINT AS g5_n09_other_src, count(*) OVER s - 1 AS g5_ncand,
+ CASE WHEN r1 = 1 THEN coalesce(max(CASE WHEN r1 > 1 THEN p END) OVER s, 0) ELSE max(p) OVER s END AS g5_pmax_other
+FROM e WINDOW s AS (PARTITION BY s1_id), ss AS (PARTITION BY s1_id, src)""",
+)
+def raw_score_shape(spark, d):
+    return pairs.score_shape(scored(spark, d), "p")
+
+
+# ---- decision and evaluation
+
+_IN_TRUTH = "(s1_id, tgt_id) IN (SELECT (s1_id, tgt_id) FROM truth)"
+query("dec_many_to_one", f"{PAIRS} SELECT s1_id, tgt_id, p FROM (SELECT *, {RANKS} FROM scored) WHERE rt = 1")(lambda spark, d: pairs.many_to_one(scored(spark, d), "p"))
+query("rule_boost", f"{PAIRS} SELECT s1_id, tgt_id, CASE WHEN {_IN_TRUTH} THEN greatest(p, 0.95::DOUBLE) ELSE p END AS p FROM scored")(lambda spark, d: pairs.boost(scored(spark, d), truth(spark, d), "p"))
+query("rule_exclude", f"{PAIRS} SELECT s1_id, tgt_id, CASE WHEN {_IN_TRUTH} THEN 0.0::DOUBLE ELSE p END AS p FROM scored")(lambda spark, d: pairs.exclude(scored(spark, d), truth(spark, d), "p"))
+
+
+def per_entity(pred: str) -> str:
+    """f: n_pred, n_true, tp and F of every reference record, given a SELECT of accepted pairs."""
+    return f""", pr AS (SELECT DISTINCT s1_id, tgt_id FROM ({pred})), th AS (SELECT DISTINCT s1_id, tgt_id FROM truth),
+per AS (
+ SELECT entity_id AS s1_id, (SELECT count(*) FROM pr WHERE pr.s1_id = entity_id) AS n_pred, (SELECT count(*) FROM th WHERE th.s1_id = entity_id) AS n_true,
+  (SELECT count(*) FROM pr JOIN th USING (s1_id, tgt_id) WHERE s1_id = entity_id) AS tp FROM entity WHERE k = 1),
 f AS (SELECT *, round(CASE WHEN n_pred + n_true = 0 THEN 1.0::DOUBLE WHEN tp = 0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE * tp / (0.25::DOUBLE * n_true + n_pred) END, 6) AS f FROM per)"""
-query("eval_per_entity", f"{_PAIRS}{_PER} SELECT * FROM f")(lambda spark, d: pairs.per_entity(_scored(spark, d).where("p >= 0.5"), src.truth(src.entities(spark, d)), _s1(spark, d)))
-query("eval_macro_fbeta", f"{_PAIRS}{_PER} SELECT round(avg(f), 6) AS macro_f, count(*) AS n FROM f")(lambda spark, d: QUERIES["eval_per_entity"](spark, d).agg(F.round(F.avg("f"), 6).alias("macro_f"), F.count("*").alias("n")))
 
 
-@query("dec_best_k", None)
+_HALF = "SELECT s1_id, tgt_id FROM scored WHERE p >= 0.5"
+
+
+@query("eval_per_entity", f"{PAIRS}{per_entity(_HALF)} SELECT * FROM f")
+def eval_per_entity(spark, d):
+    return pairs.per_entity(scored(spark, d).where("p >= 0.5"), truth(spark, d), s1(spark, d))
+
+
+@query("eval_macro_fbeta", f"{PAIRS}{per_entity(_HALF)} SELECT round(avg(f), 6) AS macro_f, count(*) AS n FROM f")
+def eval_macro_fbeta(spark, d):
+    return eval_per_entity(spark, d).agg(F.round(F.avg("f"), 6).alias("macro_f"), F.count("*").alias("n"))
+
+
+@query("eval_blocking_ceiling", f"{PAIRS}{per_entity(f'SELECT s1_id, tgt_id FROM scored WHERE {_IN_TRUTH}')} SELECT * FROM f")
+def eval_blocking_ceiling(spark, d):
+    return decide.perfect_matcher(scored(spark, d), truth(spark, d), s1(spark, d))
+
+
+@query(
+    "eval_error_report",
+    f"""{PAIRS}{per_entity(_HALF)} SELECT country, least(n_true, 6) AS n_true, count(*) AS n, round(avg(f), 6) AS macro_f, sum(n_pred - tp)::BIGINT AS false_positives, sum(n_true - tp)::BIGINT AS false_negatives
+FROM f JOIN entity ON entity_id = s1_id GROUP BY country, least(n_true, 6)""",
+)
+def eval_error_report(spark, d):
+    return decide.error_report(scored(spark, d).where("p >= 0.5"), truth(spark, d), s1(spark, d))
+
+
+@query("eval_stressed", f"{PAIRS} SELECT s1_id, tgt_id, p FROM scored WHERE NOT (s1_id[4:]::BIGINT % 1000003 * 40503 % 65536 % 1000 < 200)")
+def eval_stressed(spark, d):
+    return decide.stressed(scored(spark, d)).select("s1_id", "tgt_id", "p")
+
+
+@query("stage_mean_scores", f"{PAIRS} SELECT s1_id, tgt_id, (p + score) / 2 AS p FROM scored JOIN tn USING (s1_id, tgt_id)")
+def stage_mean_scores(spark, d):
+    return decide.mean_scores(scored(spark, d), search(spark, d, "n").withColumnRenamed("score", "p"), "p")
+
+
+@query("dec_best_k", f"{PAIRS}{sql.BEST} SELECT s1_id, len(ps)::INT AS n, k::INT AS k FROM best")
 def dec_best_k(spark, d):
-    p = F.transform(F.sort_array(F.collect_list("p"), asc=False), lambda x: F.least(x, F.lit(0.999)))
-    g = _scored(spark, d).groupBy("s1_id").agg(F.slice(p, 1, 12).alias("ps"))
-    return g.select("s1_id", F.size("ps").alias("n"), decision.best_k(F.col("ps")).alias("k"))
+    g = scored(spark, d).groupBy("s1_id").agg(F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, 12).alias("ps"))
+    return g.select("s1_id", F.size("ps").alias("n"), decision.best_k(F.col("ps")).cast("int").alias("k"))
 
 
-query("tok_stats", f"""{_ENTITY}, w AS (SELECT country, k = 1 AS ref, unnest(list_distinct(string_split(name, ' '))) AS t FROM entity),
+@query("dec_expected_f_select", f"{PAIRS}{sql.BEST} SELECT s1_id, tgt_id, p FROM (SELECT *, {RANKS} FROM scored) JOIN best USING (s1_id) WHERE r1 <= k")
+def dec_expected_f_select(spark, d):
+    return decide.expected_f_select(scored(spark, d), "p")
+
+
+@query(
+    "tok_stats",
+    f"""{ENTITY}, w AS (SELECT country, k = 1 AS ref, unnest(list_distinct(string_split(name, ' '))) AS t FROM entity),
 c AS (SELECT country, t, count(*) FILTER (WHERE ref) AS df1, count(*) FILTER (WHERE NOT ref) AS dft FROM w WHERE t <> '' GROUP BY ALL),
-n AS (SELECT country, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k > 1) AS nt FROM entity GROUP BY ALL),
+n AS (SELECT country, greatest(1, count(*) FILTER (WHERE k = 1)) AS n1, greatest(1, count(*) FILTER (WHERE k > 1)) AS nt FROM entity GROUP BY ALL),
 x AS (SELECT *, round(ln((dft + 1)::DOUBLE) - ln((df1 + 1)::DOUBLE) - ln(nt::DOUBLE / n1), 6) AS f FROM c JOIN n USING (country))
-SELECT country, t, df1, dft, CASE WHEN df1 > 0 THEN round(ln(df1::DOUBLE / n1), 6) END AS share1, f, df1::DOUBLE / n1 >= 0.01::DOUBLE AND f < 0.3::DOUBLE AS cat FROM x""")(lambda spark, d: (lambda e: pairs.token_stats(e.where("k = 1"), e.where("k > 1"), 0.01, 0.3))(src.entities(spark, d)))
-query("fold_assign", f"{_ENTITY} SELECT entity_id, CASE WHEN h < 4 THEN 'A' WHEN h < 8 THEN 'B' ELSE 'H' END AS fold, doc_id % 1000003 * 40503 % 65536 % 1000 < 200 AS orphan FROM (SELECT *, (doc_id % 1000003 * 2654435761) % 4294967296 % 10 AS h FROM entity)")(lambda spark, d: src.entities(spark, d).select("entity_id", pairs.fold(F.col("entity_id")).alias("fold"), pairs.orphan(F.col("entity_id"), 0.2).alias("orphan")))
+SELECT country, t, df1, dft, CASE WHEN df1 > 0 THEN round(ln(df1::DOUBLE / n1), 6) END AS share1, f, df1::DOUBLE / n1 >= 0.01::DOUBLE AND f < 0.3::DOUBLE AS cat FROM x""",
+)
+def tok_stats(spark, d):
+    e = src.entities(spark, d)
+    return pairs.token_stats(e.where("k = 1"), e.where("k > 1"), 0.01, 0.3)
+
+
+@query(
+    "fold_assign",
+    f"""{ENTITY} SELECT entity_id, CASE WHEN h < 4 THEN 'A' WHEN h < 8 THEN 'B' ELSE 'H' END AS fold, doc_id % 1000003 * 40503 % 65536 % 1000 < 200 AS orphan
+FROM (SELECT *, (doc_id % 1000003 * 2654435761) % 4294967296 % 10 AS h FROM entity)""",
+)
+def fold_assign(spark, d):
+    return src.entities(spark, d).select("entity_id", pairs.fold(F.col("entity_id")).alias("fold"), pairs.orphan(F.col("entity_id"), 0.2).alias("orphan"))

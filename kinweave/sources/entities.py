@@ -57,3 +57,43 @@ def truth(e: DataFrame) -> DataFrame:
     """Pairs of a reference and a target record of one country with equal beginnings."""
     s1 = e.where("k = 1").select("country", "head", F.col("entity_id").alias("s1_id"))
     return s1.join(e.where("k > 1").select("country", "head", F.col("entity_id").alias("tgt_id")), ["country", "head"]).select("s1_id", "tgt_id")
+
+
+#: Words that variants of names get, and how the second number of a variant differs from the first.
+ADDED = ("group", "club", "holding", "union", "care")
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate pair made of every document: two names and addresses of its first words, varied by the document's number.
+
+    s1_id, tgt_id, country, label, p, and of both sides (a_, b_) the fields of a normal record: core, compact, parts, legal, initials, indic,
+    addr, words, nums, first, state, addr_empty. The linkage view has few pairs that differ by one word; here every kind of
+    difference has many: the same, one word added, swapped, dropped, abbreviated, other numbers and streets, no address.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    t = F.array_remove(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), "")
+    n, w = F.col("doc_id"), F.col("t")
+    pick = lambda i, *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1) if i is None else F.element_at(F.array(*map(F.lit, values)), i.cast("int") + 1)
+    joined = lambda a, k: F.array_join(F.slice(w, a, k), " ")
+    word, kind, step = pick(None, *ADDED), F.floor(n / 7) % 6, F.floor(n / 3) % 5
+    x = d.select("doc_id", F.col("lang").alias("country"), t.alias("t"))
+    base, first = joined(1, 4), (100 + n % 97)
+    second = F.when(step <= 1, first).when(step == 2, first + 1).when(step == 3, first + 400).otherwise(first * 10 + n % 10)
+    na = F.when(kind == 3, F.concat(base, F.lit(" "), word)).otherwise(base)
+    nb = F.when(kind.isin(1, 4), F.concat(base, F.lit(" "), word)).when(kind == 2, F.concat(joined(1, 3), F.lit(" "), word)).when(kind == 5, F.concat(joined(1, 3), F.lit(" "), F.substring(F.coalesce(F.get(w, F.lit(3)), F.lit("")), 1, 3))).otherwise(base)
+    street, other = joined(5, 3), joined(8, 3)
+    wa, wb = F.when(n % 11 == 0, "").otherwise(street), F.when(n % 13 == 0, "").when(F.floor(n / 2) % 3 < 2, street).otherwise(other)
+    x = x.select("*", F.trim(na).alias("na"), F.trim(nb).alias("nb"), wa.alias("wa"), wb.alias("wb"), first.cast("string").alias("fa"), second.cast("string").alias("fb"))
+    side = {}
+    for s, name, words, number, legal, state in (("a", "na", "wa", "fa", pick(None, "ltd", "inc", ""), pick(None, "al", "ak", "")), ("b", "nb", "wb", "fb", pick(None, "ltd", "ltd pvt", "inc", ""), pick(None, "al", "ak", "", "al", "al"))):
+        toks = F.array_remove(F.split(name, " "), "")
+        empty = F.col(words) == ""
+        side |= {
+            f"{s}_core": F.col(name), f"{s}_compact": F.replace(F.col(name), F.lit(" "), F.lit("")),
+            f"{s}_parts": F.when((n % 7 == 0) & (F.size(toks) >= 4), F.concat(F.array_join(F.slice(toks, 1, 2), " "), F.lit("|"), F.array_join(F.slice(toks, 3, 9), " "))).otherwise(""),
+            f"{s}_legal": legal, f"{s}_initials": F.array_join(F.transform(toks, lambda c: F.substring(c, 1, 1)), ""), f"{s}_indic": F.lit(False),
+            f"{s}_addr": F.when(empty, "").otherwise(F.concat(F.col(number), F.lit(" "), F.col(words))), f"{s}_words": F.col(words),
+            f"{s}_nums": F.when(empty, "").otherwise(F.col(number)), f"{s}_first": F.when(empty, "").otherwise(F.col(number)), f"{s}_state": state, f"{s}_addr_empty": empty,
+        }
+    ids = [F.concat(F.lit("S1-"), F.floor(n / 2)).alias("s1_id"), F.concat(F.lit("S"), 2 + n % 2, F.lit("-"), F.floor(n / 3)).alias("tgt_id")]
+    return x.select(*ids, "country", (n % 3 == 0).cast("int").alias("label"), ((n * 37) % 1000 / 1000).alias("p"), *[c.alias(k) for k, c in side.items()])

@@ -29,7 +29,8 @@ def test_order_and_prefix(spark):
     assert one(spark, order, a="x y z", b="x z y") == 0.5
     assert one(spark, order, a="x y", b="x") is None and one(spark, order, a="", b="") is None
     assert one(spark, words.common_prefix(F.col("a"), F.col("b")), a="abcd", b="abx") == pytest.approx(2 / 3)
-    assert one(spark, words.common_prefix(F.col("a"), F.col("b")), a="", b="abx") == 0.0
+    assert one(spark, words.common_prefix(F.col("a"), F.col("b")), a="", b="abx") is None
+    assert one(spark, order, a="x x y", b="y x") == 0.0  # repeats count, by the last place
 
 
 def pairs(spark):
@@ -56,7 +57,6 @@ def test_words_of_pairs(spark):
     assert [(r["w"], r["n"]) for r in vocabulary.collect()] == [("west", 14)]
     assert len(ids(rules.vocabulary_pairs(x, vocabulary))) == 14
     assert ids(rules.refined_swaps(x, 5, 2.0)) == {f"y{i}" for i in range(3)}
-    assert [tuple(r) for r in rules.one_way_swaps(x, 0.5, 0.9, 2).collect()] == [("c", "works", "group", 3, 3)]
     assert rules.addition_counts(x.where("false")).count() == 0
 
 
@@ -89,3 +89,34 @@ def test_decisions(spark):
     r = decide.country_report(p, "p", 0.5, s1).first()
     assert (r["n"], r["matched"], r["without"]) == (3, 0.333333, 0.333333)
     assert decide.ceiling(p, truth, s1).first()["recall"] == 1.0
+
+
+def frame(spark, names, rows):
+    kinds = {str: "string", float: "double", int: "int"}
+    sample = [next((r[i] for r in rows if r[i] is not None), "") for i in range(len(names.split()))]
+    return spark.createDataFrame(rows, ", ".join(f"{n} {kinds[type(v)]}" for n, v in zip(names.split(), sample)))
+
+
+def test_number_gate(spark):
+    rows = [(f"a{i}", f"b{i}", "c", 0.9, 0, "120", "121", 0, 0, 0, 0.0, i % 2) for i in range(6)]
+    rows += [("e", "f", "c", 0.9, 0, "120", "480", 0, 0, 0, 0.0, 0), ("g", "h", "d", 0.9, 0, "12", "129", 0, 0, 0, 0.0, 0), ("k", "l", "c", 0.9, 0, "7", "8", 0, 0, 0, None, 0)]
+    x = frame(spark, "s1_id tgt_id country a_sim nf_eq fa fb n_ua n_ub num_overlap num_jacc legal_conflict", rows)
+    assert [r["country"] for r in rules.gated_countries(x).collect()] == ["c"]  # d has no neighbours
+    gated = rules.number_gate(x, rules.gated_countries(x))
+    assert ids(gated) == {*(f"a{i}" for i in range(6)), "e"}
+    assert ids(rules.still_gated(gated, x)) == {f"a{i}" for i in range(6)} and ids(rules.still_gated(gated, x, "open")) == {"a1", "a3", "a5"}
+
+
+@pytest.mark.parametrize(("na", "nb", "yes"), [("acme club", "acme union", True), ("acme club", "acme clubs", False), ("club", "union", False), ("acme club", "acme rare", False), ("acme clu", "acme club", False), ("acme unit", "acme union", False)])
+def test_category_swap(spark, na, nb, yes):
+    stats = frame(spark, "country t df1 f", [("c", "club", 600, 0.0), ("c", "union", 900, 0.1), ("c", "rare", 3, 0.0), ("c", "clubs", 800, 0.0), ("c", "unit", 800, 0.0)])
+    x = frame(spark, "s1_id tgt_id country na nb", [("a", "b", "c", na, nb)])
+    assert rules.category_swaps(x, stats).count() == int(yes)
+
+
+def test_chain_never_lifts_the_excluded(spark):
+    p = frame(spark, "s1_id tgt_id p", [("a", "t", 0.2), ("b", "u", 0.3), ("c", "v", 0.9)])
+    x = p.where("p < 0")
+    some = lambda *i: p.where(p.s1_id.isin(*i)).select("s1_id", "tgt_id")
+    got = rules.chain(p, x, some("a", "c"), some("a", "b"), lambda a: some("a"), lambda a: some(), lambda a: some("c"), lambda q: decide.by_threshold(q, "p", 0.5))
+    assert ids(got) == {"b"}
