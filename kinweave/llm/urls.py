@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import bounded, written
+
 #: (verdict, rule): a rule is a host and a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
 #: Posterior lower bound that a host needs, and the normal quantile of that bound.
 LEAST, Z = 0.6, 1.0
+#: Reputations that are sent to every task at most, at 80 bytes a host.
+HOST_BYTES = 16 << 20
 #: Limits of the fitted prior strengths, in pseudo-pages.
 STRENGTH = (1.0, 500.0)
 
@@ -61,18 +65,19 @@ def _shrunk(children: DataFrame, parents: DataFrame, on: str) -> DataFrame:
 
 
 def reputation(parsed: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, n, k, mean, bound of every labelled host; suffix and domain means are the priors below them.
+    """Posteriors of every labelled host, domain and suffix (n, k, mean, total, strength), and the root's mean, as four tables.
 
     outcomes: page_id, good (0/1; null is no label). Unlabelled levels take their parent's mean in ``verdicts``.
     """
     o = parsed.join(outcomes.where("good is not null").select("page_id", F.col("good").cast("double").alias("_g")), "page_id")
-    hosts = o.groupBy("suffix", "domain", "host").agg(F.count("*").cast("double").alias("n"), F.sum("_g").alias("k"))
+    # each level is a small table of its own, written, so that no level counts the pages anew
+    hosts = written(o.groupBy("suffix", "domain", "host").agg(F.count("*").cast("double").alias("n"), F.sum("_g").alias("k")), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("root", F.lit(1))
     root = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(F.lit(1).alias("root"), F.round((F.coalesce("k", F.lit(0.0)) + 1) / (F.coalesce("n", F.lit(0.0)) + 2), 9).alias("mean"))
-    s = _shrunk(suffixes, root, "root")
-    d = _shrunk(domains, s, "suffix")
-    h = _shrunk(hosts, d, "domain")
+    s = written(_shrunk(written(suffixes, "suffixes"), root, "root"), "suffixes")
+    d = written(_shrunk(written(domains, "domains"), s, "suffix"), "domains")
+    h = written(_shrunk(hosts, d, "domain"), "hosts")
     return h, d, s, root
 
 
@@ -86,7 +91,8 @@ def verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float =
 
     A fitting rule decides; else the host's posterior lower bound, at least ``least`` to allow. A host without
     labels has its domain's posterior, then the suffix's, then the overall mean, with no pages of its own.
-    Null URLs and such without ``://`` are judged as the empty host. Repeated rows are kept.
+    Null URLs and such without ``://`` are judged as the empty host. Repeated rows are kept; an empty table gives none; other
+    columns are not read. Reputations go to every task up to HOST_BYTES; more of them meet the pages by a join that splits hot hosts.
     """
     p = parse(pages)
     h, d, s, root = reputation(p, outcomes)
@@ -96,7 +102,8 @@ def verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float =
     r = hosts.join(m(h, "host", "h"), "host", "left").join(m(d, "domain", "d"), "domain", "left").join(m(s, "suffix", "s"), "suffix", "left").withColumn("r_mean", root.select("mean").scalar())
     mean = F.coalesce("h_mean", "d_mean", "s_mean", "r_mean")
     total = F.coalesce("h_total", F.least("d_total", F.lit(STRENGTH[1])), F.least("s_total", F.lit(STRENGTH[1])), F.lit(2.0))
-    r = r.select("host", mean.alias("mean"), F.round(bound(mean, total), 6).alias("bound"))
+    r = written(r.select("host", mean.alias("mean"), F.round(bound(mean, total), 6).alias("bound")), "reputations")
+    r = F.broadcast(r) if bounded(r, HOST_BYTES, 80) else r
     kind = {rule: v for v, rule in rules}
     out = p.select("page_id", "host", "path", rule_for(rules).alias("rule")).join(r, "host")
     of_rule = F.lit(None).cast("string")
