@@ -59,7 +59,7 @@ def token_set_ratio(a: str, b: str) -> float:
 def jaro(a: str, b: str) -> float:
     if not a or not b:
         return 1.0 if a == b else 0.0
-    reach, taken, mine = max(len(a), len(b)) // 2 - 1, [False] * len(b), []
+    reach, taken, mine = max(0, max(len(a), len(b)) // 2 - 1), [False] * len(b), []
     for i, c in enumerate(a):
         for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
             if not taken[j] and b[j] == c:

@@ -48,6 +48,7 @@ def strings_distance(a, b):
 
 def test_known_values():
     assert round(strings.jaro_winkler("martha", "marhta"), 4) == 0.9611 and strings.jaro_winkler("", "a") == 0
+    assert strings.jaro_winkler("a", "a") == 1 and strings.jaro_winkler("a", "b") == 0  # single letters
     assert strings.token_set_ratio("red fox", "fox red jumps") == 1 and strings.token_set_ratio("", "a") == 0
     assert strings.token_sort_ratio("b a", "a b") == 1 and strings.partial_ratio("abc", "xxabcxx") == 1
     assert strings.unmatched("green garden group", "green gardn union") == (["group"], ["union"])
