@@ -87,9 +87,12 @@ def name_parts(raw: Column) -> Column:
     return F.filter(F.split(strip_contact(fold(raw)), ALSO), lambda p: F.trim(p) != "")
 
 
-def normal_name(raw: Column) -> Column:
-    """core, compact, parts (of two names or more, by |), legal, initials, indic of a raw name; empty ones of an empty or null name."""
+def normal_name(raw: Column, spelt=None) -> Column:
+    """core, compact, parts (of two names or more, by |), legal, initials, indic of a raw name; empty ones of an empty or null name.
+    ``spelt``: a function for words in Indic script."""
     split = F.transform(name_parts(raw), tokens)
+    if spelt is not None:
+        split = F.transform(split, lambda ts: F.filter(F.transform(ts, lambda t: F.when(t.rlike(INDIC), spelt(t)).otherwise(t)), lambda t: t != ""))
     cores = F.filter(F.transform(split, core_tokens), lambda c: F.size(c) > 0)
     all_ = F.flatten(cores)
     core = F.array_join(all_, " ")

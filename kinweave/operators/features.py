@@ -16,11 +16,11 @@ from kinweave.operators.pairs import fold
 FIELDS = ("core", "compact", "parts", "legal", "initials", "indic", "addr", "words", "nums", "first", "state", "addr_empty")
 
 
-def normal_records(e: DataFrame, states=None, spelt=None) -> DataFrame:
-    """country, k, entity_id and FIELDS of records (country, k, entity_id, name, address)."""
-    n, a = text.normal_name(F.col("name")), address.normal_address(F.col("address"), F.col("country"), states, spelt)
-    x = e.select("country", "k", "entity_id", n.alias("n"), a.alias("a"))
-    return x.select("country", "k", "entity_id", "n.*", F.col("a.norm").alias("addr"), "a.words", "a.nums", "a.first", "a.state", F.col("a.empty").alias("addr_empty"))
+def normal_records(e: DataFrame, states=None, spelt=None, spelt_word=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """country, k, entity_id, FIELDS and the columns ``keep`` of records (country, k, entity_id, name, address); functions for parts and words in Indic script."""
+    n, a = text.normal_name(F.col("name"), spelt_word), address.normal_address(F.col("address"), F.col("country"), states, spelt)
+    x = e.select("country", "k", "entity_id", *keep, n.alias("n"), a.alias("a"))
+    return x.select("country", "k", "entity_id", *keep, "n.*", F.col("a.norm").alias("addr"), "a.words", "a.nums", "a.first", "a.state", F.col("a.empty").alias("addr_empty"))
 
 
 def _set(c: Column) -> Column:

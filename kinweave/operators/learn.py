@@ -50,10 +50,11 @@ def cross_fit(p: DataFrame, features: Sequence[str], rate: float = 1.0, **how) -
     return {f: train(sampled(p.where(F.col("fold") == f), rate), features, **how) for f in ("A", "B")}
 
 
-def cross_predict(p: DataFrame, models: dict[str, GBTClassificationModel], features: Sequence[str], score: str) -> DataFrame:
-    """``p`` with ``score``: of fold A by B's model, of fold B by A's, of others the mean of both, so that none is scored by what learned it."""
+def cross_predict(p: DataFrame, models: dict[str, GBTClassificationModel], features: Sequence[str], score: str, unseen: bool = False) -> DataFrame:
+    """``p`` with ``score``: of fold A by B's model, of fold B by A's, of others the mean of both, so that none is scored by what learned it.
+    ``unseen``: no model learned from these records, whatever their fold."""
     x = predict(predict(p, models["A"], features, "_a"), models["B"], features, "_b")
-    f = fold(F.col("s1_id"))
+    f = F.lit("H") if unseen else fold(F.col("s1_id"))
     return x.withColumn(score, F.when(f == "A", F.col("_b")).when(f == "B", F.col("_a")).otherwise((F.col("_a") + F.col("_b")) / 2)).drop("_a", "_b")
 
 
@@ -64,13 +65,19 @@ PRUNING = (
 FLOOR, CAP = 0.002, 12
 
 
-def pruned(p: DataFrame, models: dict[str, GBTClassificationModel], floor: float = FLOOR, cap: int = CAP) -> DataFrame:
+def pruned(p: DataFrame, models: dict[str, GBTClassificationModel], floor: float = FLOOR, cap: int = CAP, unseen: bool = False) -> DataFrame:
     """Pairs with p_pre of ``floor`` or more that are among their reference record's ``cap`` best of one source."""
-    x = cross_predict(p, models, PRUNING, "p_pre")
+    x = cross_predict(p, models, PRUNING, "p_pre", unseen)
     best = F.row_number().over(Window.partitionBy("s1_id", "tgt_src").orderBy(F.desc("p_pre"), "tgt_id"))
     return x.withColumn("rk", best).where((F.col("rk") <= cap) & (F.col("p_pre") >= floor)).drop("rk") if "tgt_src" in x.columns else prune(x, "p_pre", floor, cap)
 
 
+def reference_stats(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Word statistics (as ``pairs.token_stats`` has them) for a test set: the training set's in its countries, its own in others. A test set with
+    more unmatched records would shift them under models that learned from the training set."""
+    return train.unionByName(test.join(train.select("country").distinct(), "country", "left_anti"))
+
+
 def auc(p: DataFrame, score: str, label: str = "label") -> DataFrame:
     """One row, auc: the chance that a true pair scores above another; ties count half. Equal scores are one row before they are ordered."""
     g = p.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("t"), F.sum((1 - F.col(label)).cast("long")).alias("f"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.strings import similarity, unmatched_words
 from kinweave.functions.words import is_abbreviation, number_relation, subsequence
 from kinweave.operators.pairs import boost, exclude
+from kinweave.operators.spelling import most_often
 
 SAME = "a_sim >= 0.95 AND nf_eq = 1"
 NEIGHBOUR = "a_sim >= 0.8 AND nf_eq = 0"
@@ -190,10 +191,7 @@ def token_map(pairs: DataFrame, min_count: int = 2, min_share: float = 0.5) -> D
     """tok, best, n: for each word of ``nb`` the word that most often stands at its place in ``na``, names of equally many
     words alone; with ``min_count`` cases or more, and ``min_share`` of the word's. Ties by the word."""
     at = pairs.where(F.size(_words("na")) == F.size(_words("nb"))).select(F.explode(F.arrays_zip(_words("nb").alias("tok"), _words("na").alias("best"))).alias("z")).select("z.tok", "z.best")
-    n = at.groupBy("tok", "best").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("tok")
-    n = n.select("*", F.sum("n").over(w).alias("all_"), F.row_number().over(w.orderBy(F.desc("n"), "best")).alias("rk"))
-    return n.where((F.col("rk") == 1) & (F.col("n") >= min_count) & (F.col("n") >= min_share * F.col("all_"))).select("tok", "best", "n")
+    return most_often(at, min_count, min_share)
 
 
 def same_address_pairs(s1: DataFrame, tg: DataFrame, known: DataFrame, most: int = 600) -> DataFrame:
