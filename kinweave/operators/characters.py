@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -48,14 +50,23 @@ def training_pairs(p: DataFrame, score: str, low: float = 0.005, high: float = 0
 
 
 def _difference(x: Column, vocabulary_size: int = SIZE) -> Column:
-    """Per code, how much oftener names and addresses of one side have it than the other's, as two runs of numbers."""
-
-    def run(start: int, width: int) -> Column:
-        a, b = F.slice(x, 2 + start, width), F.slice(x, 2 + WIDTH + start, width)
-        count = lambda side: F.transform(F.sequence(F.lit(UNKNOWN), F.lit(FIRST + vocabulary_size - 1)), lambda k: F.size(F.filter(side, lambda c: c == k)))
-        return F.zip_with(count(a), count(b), lambda m, n: F.abs(m - n).cast("double") / width)
-
-    return F.concat(run(0, NAME), run(NAME, WIDTH - NAME))
+    """Per code, how much oftener names and addresses of one side have it than the other's, as two runs of numbers; counted in Arrow batches."""
+    codes = FIRST + vocabulary_size
+
+    def run(v: np.ndarray, start: int, width: int) -> np.ndarray:
+        n, rows = np.zeros((len(v), codes)), np.arange(len(v))[:, None]
+        np.add.at(n, (rows, v[:, 1 + start : 1 + start + width]), 1.0)
+        np.subtract.at(n, (rows, v[:, 1 + WIDTH + start : 1 + WIDTH + start + width]), 1.0)
+        return np.abs(n[:, UNKNOWN:]) / width
+
+    @F.pandas_udf("array<double>")
+    def differences(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        v = np.stack(x.to_numpy())
+        return pd.Series(list(np.concatenate([run(v, 0, NAME), run(v, NAME, WIDTH - NAME)], axis=1)))
+
+    return differences(x)
 
 
 def train(p: DataFrame, vocabulary_size: int = SIZE, rounds: int = 60, seed: int = 7) -> MultilayerPerceptronClassificationModel:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinweave.operators import decide, features, learn, pairs, rawform
+from kinweave.functions import text
+from kinweave.functions.translit import romanised
+from kinweave.operators import characters, decide, features, learn, pairs, rawform, spelling
 from kinweave.plans import registry, sql
 from kinweave.plans.rules import CONFLICT
 from kinweave.plans.sql import VARIANTS, WORDS, ratio, sorted_words, token_set
@@ -279,3 +281,92 @@ query("eval_auc", f"""{VARIANTS} SELECT round((SELECT sum(CASE WHEN a.p > b.p TH
     lambda s, d: learn.auc(src.variants(s, d), "p")
 )
 query("stack_encode", f"{VARIANTS} SELECT s1_id, tgt_id, coalesce(list_position(['en', 'de'], country), 0)::INT - 1 AS country FROM var")(lambda s, d: learn.encoded(src.variants(s, d).select(*KEYS, "country"), {"country": ["en", "de"]}))
+
+# ---- other scripts, characters of pairs, another set's statistics
+
+#: Letters of names and what stands for them in the queries of Indic words, and how those are spelt (+ for what replaces a consonant's vowel).
+LATIN, LETTERS = "abcdefghijklmnopqrstuvwxyz", "अबचदएफगहइजकलमनओपयरसतउवा्ीे"
+SPELT = "a ba ca da e pha ga ha i ja ka la ma na o pa ya ra sa ta u va +aa + +ii +e".split()
+
+
+def _foreign(c):
+    return F.translate(c, LATIN, LETTERS)
+
+
+@query(
+    "translit_romanised",
+    f"""{VARIANTS}, m AS (SELECT MAP {{{", ".join(f"'{c}': '{x}'" for c, x in zip(LETTERS, SPELT))}}} AS m),
+t AS (SELECT doc_w AS w, array_to_string(list_transform(string_split(translate(doc_w, '{LATIN}', '{LETTERS}'), ''), lambda c: coalesce(m[c], c)), '') AS r
+ FROM (SELECT DISTINCT unnest({WORDS.format("a_core")}) AS doc_w FROM var), m)
+SELECT w, regexp_replace(replace(r, 'a+', ''), '[^a-z0-9]', '', 'g') AS spelt FROM t""",
+)
+def translit_romanised(s, d):
+    w = src.variants(s, d).select(F.explode(F.array_remove(F.split("a_core", " "), "")).alias("w")).distinct()
+    return w.select("w", romanised(_foreign(F.col("w"))).alias("spelt"))
+
+
+_FIXED = "CASE WHEN regexp_matches(w, '[0-9]') AND length(regexp_replace(w, '[^a-z]', '', 'g')) >= 3 THEN translate(w, '0134578', 'oleastb') ELSE w END"
+
+
+@query(
+    "translit_words",
+    f"""{VARIANTS}, m AS (SELECT MAP {{{", ".join(f"'{k}': '{v}'" for k, v in text.LEGAL.items())}}} AS m),
+c AS (SELECT unnest({WORDS.format("a_core")}) AS w, unnest({WORDS.format("b_core")}) AS b FROM var WHERE len({WORDS.format("a_core")}) = len({WORDS.format("b_core")})),
+k AS (SELECT translate(b, '{LATIN}', '{LETTERS}') AS tok, {_FIXED} AS w FROM c),
+n AS (SELECT tok, coalesce(m[w], w) AS best, count(*) AS n FROM k, m WHERE regexp_matches(tok, '[ऀ-ൿ]') GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY tok) AS al, row_number() OVER (PARTITION BY tok ORDER BY n DESC, best) AS rk FROM n)
+SELECT tok, best, n FROM r WHERE rk = 1 AND n >= 2 AND n >= 0.5 * al""",
+)
+def translit_words(s, d):
+    return spelling.word_spellings(src.variants(s, d).select(F.col("a_core").alias("a_name"), _foreign(F.col("b_core")).alias("b_name")))
+
+
+def _vocabulary(s, d):
+    return work.once(s, "characters", d, lambda: characters.vocabulary(src.entities(s, d).select("name", F.col("addr").alias("address"))))
+
+
+_VOC = """, voc AS (SELECT c, n, (row_number() OVER (ORDER BY n DESC, c) + 3)::INT AS code FROM (
+ SELECT c, count(*) AS n FROM (SELECT unnest(string_split(name || addr, '')) AS c FROM entity) WHERE c NOT IN ('', '~', '^') GROUP BY c) ORDER BY n DESC, c LIMIT 252)"""
+query("nn_vocabulary", f"{sql.ENTITY}{_VOC} SELECT * FROM voc")(lambda s, d: _vocabulary(s, d))
+
+
+@query(
+    "nn_codes",
+    f"""{sql.ENTITY}{_VOC}, m AS (SELECT map(list(c), list(code)) AS m FROM voc),
+w AS (SELECT entity_id, rpad(name, 40, '~') || rpad(CASE WHEN length(addr) > 72 THEN addr[1:55] || '^' || right(addr, 16) ELSE addr END, 72, '~') AS w FROM entity)
+SELECT entity_id, array_to_string(list_transform(string_split(w, ''), lambda c: CASE WHEN c = '~' THEN 0 WHEN c = '^' THEN 3 ELSE coalesce(m[c], 1) END), ' ') AS codes FROM w, m""",
+)
+def nn_codes(s, d):
+    e = src.entities(s, d).select("entity_id", "name", F.col("addr").alias("address"))
+    return characters.encoded(e, _vocabulary(s, d)).select("entity_id", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"))
+
+
+def _stats_sql(name: str, where: str) -> str:
+    return f""", {name}w AS (SELECT country, k = 1 AS ref, unnest(list_distinct(string_split(name, ' '))) AS t FROM entity WHERE {where}),
+{name}n AS (SELECT country, greatest(1, count(*) FILTER (WHERE k = 1)) AS n1, greatest(1, count(*) FILTER (WHERE k > 1)) AS nt FROM entity WHERE {where} GROUP BY ALL),
+{name} AS (SELECT country, t, df1, dft, round(ln((dft + 1)::DOUBLE) - ln((df1 + 1)::DOUBLE) - ln(nt::DOUBLE / n1), 6) AS f FROM (
+ SELECT country, t, count(*) FILTER (WHERE ref) AS df1, count(*) FILTER (WHERE NOT ref) AS dft FROM {name}w WHERE t <> '' GROUP BY ALL) JOIN {name}n USING (country))"""
+
+
+#: Two parts of the records that stand for a training and a test set; the first lacks a country.
+_TRAIN, _TEST = "doc_id % 2 = 0 AND country <> 'de'", "doc_id % 2 = 1"
+
+
+@query(
+    "shift_reference_stats",
+    f"""{sql.ENTITY}{_stats_sql("tr", _TRAIN)}{_stats_sql("te", _TEST)}
+SELECT * FROM tr UNION ALL SELECT * FROM te WHERE country NOT IN (SELECT country FROM tr)""",
+)
+def shift_reference_stats(s, d):
+    e = src.entities(s, d)
+    of = lambda x: pairs.token_stats(x.where("k = 1"), x.where("k > 1"), 0.01, 0.3)
+    return learn.reference_stats(of(e.where(_TRAIN)), of(e.where(_TEST))).select("country", "t", "df1", "dft", "f")
+
+
+@query("nn_pair_scores")
+def nn_pair_scores(s, d):
+    """The mean of two models' log odds on all pruned pairs; the models learn from the hard pairs and a sample of the others."""
+    e = src.entities(s, d).select("entity_id", "name", F.col("addr").alias("address"))
+    x = characters.pair_codes(_stage(s, d).select(*KEYS, "label", "p1"), characters.encoded(e, _vocabulary(s, d)))
+    t = work.once(s, "nn_training", d, lambda: characters.training_pairs(x, "p1"))
+    return characters.score(x, [characters.train(t, rounds=5, seed=k) for k in (7, 11)])
