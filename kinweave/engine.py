@@ -91,7 +91,7 @@ def normal(spark: SparkSession, s: Settings, split: str) -> DataFrame:
 def block(spark: SparkSession, s: Settings, split: str) -> DataFrame:
     """Candidates of a split: country, tgt_src, s1_id, tgt_id, via and three cosines."""
     e = normal(spark, s, split)
-    views = {v: _kept(spark, retrieval.unit_weights(e, retrieval.term_counts(e, v)), s.at(split, f"weights_{v}")) for v in ("n", "a")}
+    views = {v: _kept(spark, retrieval.unit_vectors(e, retrieval.term_counts(e, v)), s.at(split, f"vectors_{v}")) for v in ("n", "a")}
     views["na"] = retrieval.combined(views["n"], views["a"])
     return _kept(spark, retrieval.candidates(e.select("country", "k", "entity_id", F.col("core").alias("name")), views, s.blocking), s.at(split, "candidates"))
 
