@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from kinweave.llm.common import portions
+from kinweave.llm.common import give_back, portions
 
 #: Distinct words that a task's table holds before it is started anew: 30 MB or so.
 HELD = 150_000
@@ -103,6 +103,8 @@ def encode(docs: DataFrame, tokenizer_path: str, held_words: int = HELD, with_id
                 decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in ids]
                 cols = [b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(ids, pa.binary()), pa.array(decoded)] if with_ids else [])], schema=schema)
+        known = texts = new = ids = decoded = cols = whole = b = None
+        give_back()
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, kinds)

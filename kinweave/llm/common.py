@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -61,3 +62,12 @@ def portions(b: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa
             start, held = i + 1, 0
     if start < b.num_rows:
         yield b.slice(start)
+
+
+def give_back() -> None:
+    """Free memory of this Python worker returns to the system: workers outlive their tasks, and all of an executor's count together."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

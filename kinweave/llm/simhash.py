@@ -9,7 +9,6 @@ from fractions import Fraction
 from itertools import combinations, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -256,10 +255,10 @@ def alike(rows: DataFrame, part: Fraction) -> DataFrame:
     crowd = near.where(F.col("met") > SIMILAR_CROWD).withColumn("p", F.pmod(F.xxhash64("node", F.lit(SEED)), parts).cast("int"))
     tiles = crowd.withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1))).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "n", *lanes)
 
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        node, n, p, f = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["p"].to_numpy(), pdf[lanes].to_numpy()
-        i, j, tree, out = pdf["i"].iloc[0], pdf["j"].iloc[0], np.arange(len(pdf)), []
+    def forest(node: np.ndarray, n: np.ndarray, p: np.ndarray, f: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+        first = np.sort(np.unique(node, return_index=True)[1])
+        node, n, p, f = node[first], n[first], p[first], f[first]
+        tree, out = np.arange(len(node)), []
         right = np.flatnonzero(p == j)
         for x in np.flatnonzero(p == i).tolist():
             y = right[(right > x) & (tree[right] != tree[x])] if i == j else right[tree[right] != tree[x]]
@@ -268,10 +267,30 @@ def alike(rows: DataFrame, part: Fraction) -> DataFrame:
             for z in y[close].tolist():
                 if tree[z] != tree[x]:
                     tree[tree == tree[z]] = tree[x]
-                    out.append((node[x], node[z]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return thinned(pairs.union(tiles.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long")).where("a <> b"))
+                    out.append((int(node[x]), int(node[z])))
+        return out
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[np.ndarray]) -> pa.RecordBatch:
+            x = np.concatenate(held)
+            out = forest(x[:, 4], x[:, 5], x[:, 3], x[:, 6:], int(x[0, 1]), int(x[0, 2]))
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            for rows in np.split(x, np.flatnonzero((np.diff(x[:, :3], axis=0) != 0).any(axis=1)) + 1):
+                if held and len(rows) and (held[0][0, :3] != rows[0, :3]).any():
+                    yield done(held)
+                    held = []
+                if len(rows):
+                    held.append(rows)
+        if held:
+            yield done(held)
+
+    # arrays and not frames of pandas, whose import would stay with every worker
+    found = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(forests, "a long, b long")
+    return thinned(pairs.union(found).where("a <> b"))
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 from fractions import Fraction
 
 import numpy as np
@@ -679,3 +681,21 @@ def test_search(spark, docs, postings, entries, step, tasks, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(brute_search(rows, queries, 5), key=key)
     assert search.top_k(docs.where("false"), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
     assert search.top_k(docs, docs.where("false").select(F.col("doc_id").alias("query_id"), "text")).count() == 0
+
+
+def test_workers_of_near_dedup_go_without_pandas():
+    code = "import sys, kinweave.llm.simhash, kinweave.llm.bpe; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
+
+
+def test_sample_sets_an_order_only(spark, monkeypatch):
+    """Kept rows are the same whatever texts the frequent shingles are counted in."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(12)]
+    rows = [(i, " ".join([*base[i % 12][: rng.randrange(56, 60)], f"x{i % 3}"])) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    for sample in (1, 10, 5_000):
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        kept.append(sorted(r["doc_id"] for r in simhash.one_of_each(d).collect()))
+    assert kept[0] == kept[1] == kept[2] and 12 <= len(kept[0]) < 120
