@@ -249,9 +249,14 @@ query("raw_template_features")(_templates)
 
 
 def _learnable(s, d):
-    x = registry.blk_candidates(s, d)
-    t = registry.truth(s, d).distinct().withColumn("label", F.lit(1))
-    return pairs.rank_gaps(x).join(t, KEYS, "left").fillna(0, ["label"])
+    """Candidates with ranks, gaps and labels. A fit reads its rows many times over: written, their windows are shuffled once and not for each reading."""
+
+    def build():
+        x = registry.blk_candidates(s, d)
+        t = registry.truth(s, d).distinct().withColumn("label", F.lit(1))
+        return pairs.rank_gaps(x.join(t, KEYS, "left").fillna(0, ["label"]))
+
+    return work.once(s, "learnable", d, build)
 
 
 def _pruned(s, d):

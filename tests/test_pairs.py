@@ -2,12 +2,15 @@
 
 import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import decision
 from kinweave.operators import cardinality, features, learn, pairs, rawform
+from kinweave.plans import features as plans
 from kinweave.sources import work
 
 
@@ -95,6 +98,29 @@ def test_cross_fit_and_stack(spark):
     assert learn.stacked_out_of_fold(x, ("p1",), rounds=3, depth=2).count() == 600
 
 
+def test_learned_steps_read_written_rows(spark):
+    """A fit reads its rows several times over: ranks and groups are not computed, and shuffled, for each reading."""
+    d = "/root/testdata/sf0.001"
+    for rows in (plans._learnable(spark, d),):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan and rows.count() > 0
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", disk.getAllBlocks().mkString(" ")))
+    before, option = held(), spark.conf.get(work.CLEANUP)
+    x = spark.range(1000).withColumn("a", F.col("id") % 7).repartition(3, "a").groupBy("a").count()
+    assert work.written(x, "x").count() == 7
+    for _ in range(50):
+        left = set(re.findall(r"shuffle_(\d+)_", " ".join(held() - before)))
+        if len(left) < 2:
+            break
+        time.sleep(0.2)
+    assert len(left) < 2  # the count's own
+    assert spark.conf.get(work.CLEANUP) == option
+
+
 def test_work_tables(spark, tmp_path):
     assert work.safe("Côte d'Or/x") == "Côte_d_Or_x"
     work.save_map({"b": "é", "a": "1"}, str(tmp_path / "m.json"))
