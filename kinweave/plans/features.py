@@ -271,10 +271,17 @@ query("prune_learned")(lambda s, d: _pruned(s, d).select(*KEYS, "country", "tgt_
 STAGE = (*learn.PRUNING, "p_pre", "c_rank_s1", "c_gap_s1", "c_sum_s1", "c_margin_tgt")
 
 
-def _stage(s, d):
+def _stage_rows(s, d):
     def build():
         p = _pruned(s, d)
-        x = p.join(pairs.group_features(p, "p_pre"), KEYS)
+        return p.join(pairs.group_features(p, "p_pre"), KEYS)
+
+    return work.once(s, "stage_rows", d, build)
+
+
+def _stage(s, d):
+    def build():
+        x = _stage_rows(s, d)
         return learn.cross_predict(x, learn.cross_fit(x, STAGE, rounds=8, depth=3), STAGE, "p1")
 
     return work.once(s, "stage", d, build)

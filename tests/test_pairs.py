@@ -101,7 +101,7 @@ def test_cross_fit_and_stack(spark):
 def test_learned_steps_read_written_rows(spark):
     """A fit reads its rows several times over: ranks and groups are not computed, and shuffled, for each reading."""
     d = "/root/testdata/sf0.001"
-    for rows in (plans._learnable(spark, d),):
+    for rows in (plans._learnable(spark, d), plans._stage_rows(spark, d)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan and rows.count() > 0
 
