@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import normal_name
@@ -68,6 +70,36 @@ def test_characters_learn_equality(spark):
     assert learn.auc(z.join(p.where("held_out"), ["s1_id", "tgt_id"]).select(F.expr("1 / (1 + exp(-z))").alias("z"), "label"), "z").first()["auc"] == 1.0
 
 
+def test_characters_train_without_keeping_rows(spark):
+    """All training rows are used, and none of their differences are kept by Spark: gradients against finite differences, nothing persisted."""
+    rng = np.random.default_rng(1)
+    rows = [([characters.START, *map(int, rng.integers(0, 9, 2 * characters.WIDTH))], int(i % 3 == 0), i % 7 == 0) for i in range(60)]
+    p = spark.createDataFrame(rows, "x array<int>, label int, held_out boolean").repartition(3)
+    f = np.concatenate(list(characters._differences(pa.array([r[0] for r in rows], pa.list_(pa.int32())), 5)))
+    plain = [[abs(r[0][1 + s : 1 + s + w].count(c) - r[0][1 + characters.WIDTH + s : 1 + characters.WIDTH + s + w].count(c)) / w for s, w in ((0, 40), (40, 72)) for c in range(1, 9)] for r in rows]
+    assert np.allclose(f, plain)
+    y, kept = np.array([r[1] for r in rows], float), np.array([not r[2] for r in rows])
+    n = f.shape[1]
+    w = rng.normal(0, 1, n * characters.HIDDEN + 2 * characters.HIDDEN + 1)
+    value, g = characters.Perceptron.of(w).loss(f, y)
+    for i in rng.choice(len(w), 20):
+        e = np.zeros(len(w))
+        e[i] = 1e-5
+        assert abs((characters.Perceptron.of(w + e).loss(f, y)[0] - characters.Perceptron.of(w - e).loss(f, y)[0]) / 2e-5 - g[i]) < 1e-5
+    seen = []
+    real, characters.minimum = characters.minimum, lambda loss, start, rounds: seen.append((start, loss(start))) or real(loss, start, rounds)
+    persisted = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    try:
+        m = characters.train(p, 5, rounds=4)
+    finally:
+        characters.minimum = real
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == persisted
+    (start, (value, g)), = seen
+    whole = characters.Perceptron.of(start).loss(f[kept], y[kept])
+    assert abs(value - whole[0] / kept.sum()) < 1e-9 and np.allclose(g, whole[1] / kept.sum())
+    assert m.loss(f[kept], y[kept])[0] < whole[0]
+
+
 def test_reference_statistics(spark):
     of = lambda rows: spark.createDataFrame(rows, "country string, t string, df1 long")
     got = learn.reference_stats(of([("US", "a", 1)]), of([("US", "a", 9), ("US", "b", 2), ("FR", "c", 3)]))
