@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import decision
 from kinweave.operators import cardinality, features, learn, pairs, rawform
 from kinweave.plans import features as plans
+from kinweave.plans import registry
 from kinweave.sources import work
 
 
@@ -104,6 +105,12 @@ def test_learned_steps_read_written_rows(spark):
     for rows in (plans._learnable(spark, d), plans._stage_rows(spark, d)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan and rows.count() > 0
+    # a source at a time, with the same ranks as over both
+    x = registry.blk_candidates(spark, d)
+    whole = pairs.rank_gaps(x.join(registry.truth(spark, d).distinct().withColumn("label", F.lit(1)), ["s1_id", "tgt_id"], "left").fillna(0, ["label"]))
+    got = plans._learnable(spark, d).select(whole.columns)
+    assert got.inputFiles() and {re.search(r"learnable(\d)", f).group(1) for f in got.inputFiles()} == {"2", "3"}
+    assert whole.exceptAll(got).isEmpty() and got.exceptAll(whole).isEmpty()
 
 
 def test_written_tables_leave_no_shuffle(spark):
