@@ -1,7 +1,8 @@
-"""Exact top-k search: BM25 over an inverted index in shards, with block-max WAND pruning."""
+"""Exact top-k search: BM25 over an inverted index in shards, with pruning by block maxima."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections import Counter
@@ -20,18 +21,18 @@ from kinweave.llm.common import written
 K1, B = 1.2, 0.75
 #: A posting's weight is a multiple of 1 / UNIT: sums are exact, in whatever order and shard they are made.
 UNIT = 1 << 20
-#: Postings (or documents) of a shard at which the next one begins, distinct (query, term) entries of a block of queries.
-SHARD_POSTINGS, BLOCK_ENTRIES = 6_000_000, 2_000_000
-#: Documents of a block whose greatest weight is kept for each list of LONG postings or more; share of a shard's
-#: documents from which a list is also held as a dense row.
-BLOCK, LONG, DENSE = 64, 64, 1 / 16
-#: Lists, at least, that are added up between two looks at the threshold.
-STEP = 16
+#: Postings (or documents) of a shard at which the next one begins, bytes of text that a shard is made of, distinct (query, term) entries of a block of queries.
+SHARD_POSTINGS, SHARD_BYTES, BLOCK_ENTRIES = 6_000_000, 32 << 20, 2_000_000
+#: Documents of a block whose greatest weight is kept for each frequent word: one that at least a share DENSE of a shard's documents have,
+#: as far as their rows have DENSE_CELLS weights together.
+BLOCK, DENSE, DENSE_CELLS = 64, 1 / 16, 8_000_000
+#: Lists of fewer than LONG postings are added up for all queries of a group at once. A group has STEP queries, or more as long as it has GROUP_CELLS sums.
+LONG, STEP, GROUP_CELLS = 64, 16, 2_000_000
 #: Shards, at least, of the first wave; each later wave has about as many as all before it.
 FIRST = 4
 _word = re.compile(r"[^\W_]+")
 
-_INDEX = "level int, ids array<long>, lens binary, terms array<string>, dfs array<int>, docs binary, tfs binary"
+_INDEX = "level int, ids array<long>, copies binary, lens binary, terms array<string>, dfs array<int>, sizes array<int>, docs binary, tfs binary"
 
 
 def words(text: str | None) -> list[str]:
@@ -39,46 +40,86 @@ def words(text: str | None) -> list[str]:
     return _word.findall((text or "").lower())
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids, text: the rows (doc_id, text) of a batch that have equal texts as one; a null text is empty."""
+    for b in batches:
+        text = pc.fill_null(b.column(1), "").dictionary_encode()
+        of = text.indices.to_numpy()
+        ends = np.cumsum(np.bincount(of, minlength=len(text.dictionary)))
+        ids = b.column(0).take(pa.array(np.argsort(of, kind="stable")))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), ids), text.dictionary], names=["ids", "text"])
+
+
+def _alike(of: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """A small number for each of ``n`` texts, given (text, word) pairs: the same for texts on the same sides of the main axes of frequent words,
+    such as texts of a language. It orders texts and decides nothing."""
+    df = np.bincount(term)
+    frequent = np.argsort(-df, kind="stable")[:128]
+    column = np.full(len(df), -1)
+    column[frequent] = np.arange(len(frequent))
+    column = column[term]
+    x = np.zeros((n, len(frequent)), np.float32)
+    x[of[column >= 0], column[column >= 0]] = 1
+    x -= x.mean(axis=0)
+    axes = np.linalg.eigh((x.T @ x).astype(float))[1][:, -3:]
+    return (x @ axes > 0) @ (1 << np.arange(axes.shape[1]))
+
+
 def build(docs: DataFrame, postings: int = SHARD_POSTINGS) -> DataFrame:
-    """The inverted index, a row a shard: documents by length (``ids``, ``lens``), terms with their document counts, and
-    the places and counts of each term in turn. Every row of ``docs`` is in one shard, also those without words.
-    Half of the tasks make shards of ``level`` 0, a quarter of level 1, and so on, evenly over the table."""
+    """The inverted index, a row a shard: documents by likeness and length (``ids``, ``copies``, ``lens``), terms with the counts of rows and of
+    documents that have them, and the places and counts of each term in turn. Every row of ``docs`` is in one shard, also those without words.
+
+    Rows meet by their text, and those of equal texts in a shard are one document with as many ``copies``, its ids together: least first,
+    null last. Half of the tasks make shards of ``level`` 0, a quarter of level 1, and so on, evenly over the table."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        seen: dict[bytes, list] = {}
         ids, lens, sizes, term, tf = [], array("i"), array("i"), array("i"), array("i")
         task = TaskContext.get().partitionId() + 1
         level = (task & -task).bit_length() - 1
 
         def packed() -> pa.RecordBatch:
             n, length = len(ids), np.frombuffer(lens, "<i4")
-            order = np.argsort(length, kind="stable")
+            doc, t = np.repeat(np.arange(n, dtype="<i4"), np.frombuffer(sizes, "<i4")), np.frombuffer(term, "<i4")
+            order = np.lexsort((length, _alike(doc, t, n))) if len(t) else np.arange(n)
             place = np.empty(n, "<i4")
             place[order] = np.arange(n, dtype="<i4")
-            doc = np.repeat(place, np.frombuffer(sizes, "<i4"))
-            t = np.frombuffer(term, "<i4")
+            copies = np.array([len(x) for x in ids], "<i4")
+            df = np.bincount(t, copies[doc], len(known)).astype("<i4")
+            doc = place[doc]
             by = np.lexsort((doc, t))
-            columns = [level], [[ids[i] for i in order]], [length[order].tobytes()], [list(known)], [np.bincount(t, minlength=len(known)).astype("<i4")], [doc[by].tobytes()], [np.frombuffer(tf, "<i4")[by].tobytes()]
-            types = pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["level", "ids", "lens", "terms", "dfs", "docs", "tfs"])
+            own = [i for j in order.tolist() for i in sorted(ids[j], key=lambda i: (i is None, i or 0))]
+            columns = [level], [own], [copies[order].tobytes()], [length[order].tobytes()], [list(known)], [df], [np.bincount(t, minlength=len(known)).astype("<i4")], [doc[by].tobytes()], [np.frombuffer(tf, "<i4")[by].tobytes()]
+            types = pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["level", "ids", "copies", "lens", "terms", "dfs", "sizes", "docs", "tfs"])
 
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                w = words(text.as_py())
+            for own, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                key = hashlib.blake2b(text.encode(), digest_size=16).digest()
+                if key in seen:
+                    seen[key].extend(own)
+                    continue
+                seen[key] = own
+                w = words(text)
                 c = Counter(w)
-                ids.append(i)
+                ids.append(own)
                 lens.append(len(w))
                 sizes.append(len(c))
                 term.extend([known.setdefault(x, len(known)) for x in c])
                 tf.extend(c.values())
                 if max(len(term), len(ids)) >= postings:
                     yield packed()
-                    known = {}
+                    known, seen = {}, {}
                     ids, lens, sizes, term, tf = [], array("i"), array("i"), array("i"), array("i")
         if ids:
             yield packed()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(shards, _INDEX)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    return docs.mapInArrow(_merged, "ids array<long>, text string").repartition(tasks, F.xxhash64("text")).mapInArrow(shards, _INDEX)
 
 
 class Shard:
@@ -88,100 +129,90 @@ class Shard:
         ids = row["ids"].values
         self.null = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        self.n = len(self.ids)
-        df = row["dfs"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.copies = np.frombuffer(row["copies"].as_buffer(), "<i4").astype(np.intp)
+        self.first = np.cumsum(self.copies) - self.copies
+        self.n_blocks = -(-len(self.copies) // BLOCK)
+        size = row["sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64)
         at = pc.index_in(row["terms"].values, value_set=vocabulary)
         mine = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
         at = at.fill_null(-1).to_numpy(zero_copy_only=False)[mine]
-        chosen = np.repeat(np.isin(np.arange(len(df)), mine), df)
-        self.doc = np.frombuffer(row["docs"].as_buffer(), "<i4")[chosen].astype(np.intp)
+        chosen = np.repeat(np.isin(np.arange(len(size)), mine), size)
+        self.doc = np.frombuffer(row["docs"].as_buffer(), "<i4")[chosen]
         tf = np.frombuffer(row["tfs"].as_buffer(), "<i4")[chosen].astype(float)
         norm = K1 * (1 - B + B * (np.frombuffer(row["lens"].as_buffer(), "<i4") / average))
-        df = df[mine]
-        self.off = np.concatenate([[0], np.cumsum(df)])
-        self.ends = list(zip(self.off[:-1].tolist(), self.off[1:].tolist()))
-        self.weight = np.rint(np.repeat(idf[at], df) * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT)
+        self.size = size = size[mine]
+        self.off = np.concatenate([[0], np.cumsum(size)])
+        self.weight = np.rint(np.repeat(idf[at], size) * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT).astype("<i4")
         self.list_of = np.full(len(vocabulary), -1)
         self.list_of[at] = np.arange(len(mine))
-        self.bound = np.maximum.reduceat(self.weight, self.off[:-1]) if len(mine) else np.zeros(0)
-        self.df = df
-        self.n_blocks = self.n // BLOCK + 1
+        self.bound = np.maximum.reduceat(self.weight, self.off[:-1]).astype(float) if len(mine) else np.zeros(0)
+        frequent = np.argsort(-size, kind="stable")[: DENSE_CELLS // (self.n_blocks * BLOCK)]
+        frequent = frequent[size[frequent] >= DENSE * len(self.copies)]
         self.row_of = np.full(len(mine), -1)
-        long = np.flatnonzero(df >= LONG)
-        self.row_of[long] = np.arange(len(long))
-        self.most = np.zeros((len(long), self.n_blocks))
-        self.dense: dict[int, np.ndarray] = {}
-        for r, t in enumerate(long):
-            d, w = self.doc[self.off[t] : self.off[t + 1]], self.weight[self.off[t] : self.off[t + 1]]
-            b = d // BLOCK
-            first = np.flatnonzero(np.diff(b, prepend=-1))
-            self.most[r, b[first]] = np.maximum.reduceat(w, first)
-            if df[t] >= DENSE * self.n:
-                self.dense[int(t)] = np.zeros(self.n)
-                self.dense[int(t)][d] = w
-
-    def add(self, lists: np.ndarray) -> np.ndarray:
-        """The weights of all documents in these lists."""
-        rows = [self.dense[t] for t in lists if t in self.dense]
-        spans = [slice(*self.ends[t]) for t in lists if t not in self.dense]
-        out = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n) if spans else np.zeros(self.n)
-        for row in rows:
-            out += row
-        return out
-
-    def weights_in(self, t: int, among: np.ndarray) -> np.ndarray:
-        """The weights of one list in the documents ``among``."""
-        if t in self.dense:
-            return self.dense[t][among]
-        d = self.doc[self.off[t] : self.off[t + 1]]
-        i = np.minimum(np.searchsorted(d, among), len(d) - 1)
-        return np.where(d[i] == among, self.weight[self.off[t] + i], 0.0)
-
-    def top(self, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of all documents that may be among the best k, given that k documents have ``least``.
-
-        Lists come by falling bound. As soon as the lists behind the pivot, all bounds together, stay below the
-        threshold, documents only in them are skipped without a look; each other document goes on as long as its sum
-        and the rest of the lists' maxima in its block reach the threshold.
+        self.row_of[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((self.n_blocks, len(frequent), BLOCK))
+        for r, t in enumerate(frequent):
+            s = slice(self.off[t], self.off[t + 1])
+            self.dense[self.doc[s] // BLOCK, r, self.doc[s] % BLOCK] = self.weight[s]
+        self.long = {t: (self.doc[self.off[t] : self.off[t + 1]], self.weight[self.off[t] : self.off[t + 1]]) for t in np.flatnonzero((size >= LONG) & (self.row_of < 0)).tolist()}
+        self.most = self.dense.max(axis=2).T
+
+    def best(self, queries: list[np.ndarray], k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query that has any, its number, and places in ``ids`` and scores of all rows that may be among its best k,
+        given that k rows have ``least``."""
+        lists = [x[x >= 0] for x in (self.list_of[q] for q in queries)]
+        some = [q for q, x in enumerate(lists) if len(x) and self.bound[x].sum() >= least[q]]
+        many = max(STEP, GROUP_CELLS // (self.n_blocks * BLOCK))
+        for at in range(0, len(some), many):
+            group = some[at : at + many]
+            for q, score in zip(group, self._scores([lists[q] for q in group], least[group])):
+                doc = np.flatnonzero(score >= max(least[q], 1.0))
+                if len(doc):
+                    yield q, *self._rows(doc, score[doc], k)
+
+    def _scores(self, lists: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+        """The sums of all documents for the queries with these lists; sums below ``least`` may lack a part.
+
+        Lists of the words that are not frequent are added up. What frequent words can add to a document of a block is at most the sum of their
+        maxima in it: only blocks that reach the threshold with it go on, and all their documents get the weights of frequent words as one product.
         """
-        lists = self.list_of[query]
-        lists = lists[lists >= 0]
-        if not len(lists):
-            return lists, np.zeros(0)
-        lists = lists[np.lexsort((lists, -self.bound[lists]))]
-        rest = np.concatenate([np.cumsum(self.bound[lists][::-1])[::-1], [0.0]])
-        if rest[0] < least:
-            return lists[:0], np.zeros(0)
-        score, pivot = np.zeros(self.n), 0
-        while pivot < len(lists) and rest[pivot] >= least:
-            until = pivot + max(STEP, (len(lists) - pivot) // 4)
-            score += self.add(lists[pivot:until].tolist())
-            pivot = min(until, len(lists))
-            # only k sums above all that is left can end this
-            if np.count_nonzero(score > rest[pivot]) >= k:
-                least = max(least, np.partition(score, self.n - k)[self.n - k])
-        among = np.flatnonzero((score > 0) & (score + rest[pivot] >= least))
-        score, behind = score[among], lists[pivot:]
-        if len(behind) and len(among):
-            rows = self.row_of[behind]
-            # what all lists from each one on can add in each block; short lists count with their bound
-            short = np.where(rows < 0, self.bound[behind], 0.0)
-            blocks, inverse = np.unique(among // BLOCK, return_inverse=True)
-            most = np.where(rows[:, None] < 0, short[:, None], self.most[rows][:, blocks] if len(self.most) else 0.0)
-            ahead = np.cumsum(most[::-1], axis=0)[::-1]
-            for i, t in enumerate(behind):
-                if i % STEP == 0:
-                    if len(score) > k:
-                        least = max(least, np.partition(score, len(score) - k)[len(score) - k])
-                    stay = score + ahead[i][inverse] >= least
-                    among, score, inverse = among[stay], score[stay], inverse[stay]
-                    if not len(among):
-                        break
-                score = score + self.weights_in(int(t), among)
-        if len(score) > k:
-            least = max(least, np.partition(score, len(score) - k)[len(score) - k])
-        stay = score >= least
-        return among[stay], score[stay]
+        score, asked, short = np.zeros((len(lists), self.n_blocks * BLOCK)), np.zeros((len(lists), len(self.most))), []
+        for i, x in enumerate(lists):
+            row = self.row_of[x]
+            asked[i, row[row >= 0]] = 1
+            x = x[row < 0]
+            long = self.size[x] >= LONG
+            if long.any():
+                doc, weight = zip(*[self.long[t] for t in x[long].tolist()])
+                score[i] = np.bincount(np.concatenate(doc, dtype=np.intp), np.concatenate(weight, dtype=float), score.shape[1])
+            short.append(x[~long])
+        of, t = np.repeat(np.arange(len(lists)), [len(x) for x in short]), np.concatenate(short)
+        n = self.size[t]
+        at = np.arange(n.sum()) + np.repeat(self.off[t] - np.cumsum(n) + n, n)
+        np.add.at(score.reshape(-1), np.repeat(of * score.shape[1], n) + self.doc[at], self.weight[at].astype(float))
+        blocks = score.reshape(len(lists), self.n_blocks, BLOCK)
+        bound = asked @ self.most
+        alive = (bound > 0) & (blocks.max(axis=2) + bound >= least[:, None])
+        used = np.flatnonzero(asked.any(axis=0))
+        asked = asked[:, used]
+        for b in np.flatnonzero(alive.any(axis=0)):
+            on = np.flatnonzero(alive[:, b])
+            blocks[on, b] += asked[on] @ self.dense[b][used]
+        return score
+
+    def _rows(self, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` and scores, given documents and their sums: of those that, with their copies, may be among the best k."""
+        if len(doc) > k:
+            stay = score >= np.partition(score, len(doc) - k)[len(doc) - k]
+            doc, score = doc[stay], score[stay]
+        by = np.argsort(-score, kind="stable")
+        doc, score = doc[by], score[by]
+        enough = np.searchsorted(np.cumsum(self.copies[doc]), k)
+        if enough < len(doc):
+            stay = score >= score[enough]
+            doc, score = doc[stay], score[stay]
+        n = np.minimum(self.copies[doc], k)
+        return np.arange(n.sum()) + np.repeat(self.first[doc] - np.cumsum(n) + n, n), np.repeat(score, n)
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = SHARD_POSTINGS, entries: int = BLOCK_ENTRIES) -> DataFrame:
@@ -194,11 +225,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = SHAR
     without words (null, empty, punctuation) none. Repeated rows of documents are found one by one, repeated queries
     answered one by one; empty tables give an empty result. Other columns are not read.
 
+    Rows of equal texts are one document of the index, found with as many of its ids as are among the best k.
     The index is written once to the shared folder. Queries go over it in blocks of about ``entries`` words, each
     block sent to every task; equal queries are answered once. A block goes over the shards in waves, each about as
     large as all before it: a wave's tasks know the k-th best (score, doc_id) that the earlier ones found for a query and
     return only what comes before it, k at most. So a query's rows grow with the number of waves, the logarithm of the
-    table, and not with the tasks. The rows meet by query after each wave. Nothing else is shuffled but the counts of words.
+    table, and not with the tasks. The rows meet by query after each wave. Besides, the texts are shuffled once, and the counts of words.
     """
     spark = docs.sparkSession
 
@@ -210,7 +242,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = SHAR
     index = written(build(docs, postings), "index")
     asked_ = queries.select(F.col("query_id").cast("long"), "text").mapInArrow(asked, "query_id long, terms array<string>").where("size(terms) > 0")
     asked_ = written(asked_.select("query_id", F.sha2(F.concat_ws(" ", "terms"), 256).alias("query"), "terms"), "queries")
-    n, lengths = index.select("lens").mapInArrow(_lengths, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("words")).first()
+    n, lengths = index.select("lens", "copies").mapInArrow(_lengths, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("words")).first()
     once = written(asked_.groupBy("query").agg(F.first("terms").alias("terms")).withColumn("number", F.monotonically_increasing_id()), "distinct")
     entry = once.select("number", F.explode("terms").alias("term"))
     counted = index.select(F.inline(F.arrays_zip("terms", "dfs"))).toDF("term", "df")
@@ -259,8 +291,8 @@ def _in_waves(index: DataFrame, part: pa.Table, waves: list[list[int]], n: int,
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lens = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in lens], pa.int64()), pa.array([int(x.sum()) for x in lens], pa.int64())], names=["n", "words"])
+        lens, copies = ([np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in c] for c in b.columns)
+        yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in copies], pa.int64()), pa.array([int(x @ c) for x, c in zip(lens, copies)], pa.int64())], names=["n", "words"])
 
 
 def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, floor: pa.Table | None) -> DataFrame:
@@ -270,14 +302,19 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, fl
     at, of = term.indices.to_numpy(), query.indices.to_numpy()
     df = np.zeros(len(term.dictionary))
     df[at] = part["df"].to_numpy()
+    # queries that are alike are next to each other: a group of them has few frequent words
+    by = np.argsort(_alike(of, at, len(query.dictionary)), kind="stable")
+    number, names = np.empty(len(by), int), query.dictionary.take(pa.array(by))
+    number[by] = np.arange(len(by))
+    of = number[of]
     order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=len(query.dictionary)))
-    least, last = np.zeros(len(query.dictionary)), np.full(len(query.dictionary), np.iinfo(np.int64).max)
+    ends = np.cumsum(np.bincount(of, minlength=len(names)))
+    least, last = np.zeros(len(names)), np.full(len(names), np.iinfo(np.int64).max)
     if floor is not None:
-        of = pc.index_in(floor["number"].combine_chunks(), value_set=query.dictionary).to_numpy()
+        of = pc.index_in(floor["number"].combine_chunks(), value_set=names).to_numpy()
         least[of] = np.rint(floor["score"].to_numpy() * UNIT)
         last[of] = pc.fill_null(floor["doc_id"], np.iinfo(np.int64).max).to_numpy()
-    sent = index.sparkSession.sparkContext.broadcast((term.dictionary, np.log(1 + (n - df + 0.5) / (df + 0.5)), query.dictionary, np.split(at[order], ends[:-1]), least, last))
+    sent = index.sparkSession.sparkContext.broadcast((term.dictionary, np.log(1 + (n - df + 0.5) / (df + 0.5)), names, np.split(at[order], ends[:-1]), least, last))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf, names, queries, least, last = sent.value
@@ -285,9 +322,11 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, fl
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard({c: b.column(c)[i] for c in b.schema.names[1:]}, vocabulary, idf, average)
-                for q, terms in enumerate(queries):
+                known = least.copy()
+                for q, old in bests.items():
+                    known[q] = max(least[q], old[0][-1] if len(old[0]) == k else 0.0)
+                for q, place, score in shard.best(queries, k, known):
                     old = bests.get(q)
-                    place, score = shard.top(terms, k, max(least[q], old[0][-1] if old is not None and len(old[0]) == k else 0.0))
                     stay = (score > least[q]) | (shard.ids[place] <= last[q])
                     place, score = place[stay], score[stay]
                     if not len(place):

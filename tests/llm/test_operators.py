@@ -10,6 +10,7 @@ import sys
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -699,3 +700,36 @@ def test_sample_sets_an_order_only(spark, monkeypatch):
         monkeypatch.setattr(simhash, "SAMPLE", sample)
         kept.append(sorted(r["doc_id"] for r in simhash.one_of_each(d).collect()))
     assert kept[0] == kept[1] == kept[2] and 12 <= len(kept[0]) < 120
+
+
+def test_search_holds_equal_texts_once(spark):
+    """Rows of one text in many files are one document of the index, and all of them are found."""
+    rows = [(100 * c + i, f"same{i} words here w{i % 3}") for c in range(6) for i in range(8)] + [(None, "same0 words here w0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    index = search.build(docs).collect()
+    assert sum(len(r["copies"]) // 4 for r in index) == 8 and sum(len(r["ids"]) for r in index) == len(rows)
+    queries = [(1, "same0 w0"), (2, rows[1][1])]
+    for k in (3, 7, 20):
+        got = search.top_k(docs, spark.createDataFrame(queries, "query_id long, text string"), k).collect()
+        key = lambda r: (r[0], r[1])
+        assert sorted(map(tuple, got), key=key) == sorted(brute_search(rows, queries, k), key=key)
+
+
+def test_search_skips_blocks_of_other_words():
+    """A query's frequent words are multiplied only with blocks that can reach the threshold."""
+    n = 1 << 10
+    side = np.arange(n) % 2
+    names = [f"{'ab'[s]}{j}" for s in range(2) for j in range(20)]
+    doc, term = np.repeat(np.arange(n), 20), (side[:, None] * 20 + np.arange(20)).ravel()
+    order = np.argsort(search._alike(doc, term, n), kind="stable")
+    assert len({tuple(x) for x in side[order].reshape(-1, 512)}) == 2 and all(len(set(x)) == 1 for x in side[order].reshape(-1, 512))
+    place = np.argsort(order)
+    by = np.lexsort((place[doc], term))
+    row = {"ids": [list(range(n))], "copies": [np.ones(n, "<i4").tobytes()], "lens": [np.full(n, 20, "<i4").tobytes()], "terms": [names], "sizes": [[n // 2] * 40], "docs": [place[doc][by].astype("<i4").tobytes()], "tfs": [np.ones(len(doc), "<i4").tobytes()]}
+    types = {"ids": pa.list_(pa.int64()), "terms": pa.list_(pa.string()), "sizes": pa.list_(pa.int32())}
+    shard = search.Shard({c: pa.array(v, types.get(c, pa.binary()))[0] for c, v in row.items()}, pa.array(names), np.ones(40), 20.0)
+    one = shard.weight[0]
+    blocks = [b for b in range(shard.n_blocks) if side[order][b * search.BLOCK] == 1]
+    shard.dense[blocks] = np.nan  # a look at them would show
+    (q, found, score), = shard.best([np.arange(20)], 5, np.array([20.0 * one]))
+    assert len(found) >= 5 and (score == 20 * one).all() and (side[order][found] == 0).all()
