@@ -143,3 +143,19 @@ def test_work_tables(spark, tmp_path):
     assert work.validate(lists, s1, c.select("tgt_id")) == [] and work.validate(lists.where("s1_id = 'a'"), s1, c.where("tgt_id = 'u'").select("tgt_id")) == ["records without a row: 1", "unknown targets: 1"]
     with pytest.raises(ValueError):
         work.write_outputs(s1, c, m, f"file://{tmp_path}/p")
+
+
+def test_rank_gaps_shuffles_once_a_side(spark):
+    """Rows with all their columns cross the network once for the reference records' windows and once for the targets'."""
+    c = spark.createDataFrame([("US", 2, "S1-1", "S2-1", 0.5, 0.25, 0.375), ("US", 2, "S1-1", "S2-2", 0.5, 0.5, 0.5), ("US", 2, "S1-2", "S2-2", 0.75, 0.0, 0.375)], "country string, tgt_src int, s1_id string, tgt_id string, cos_n double, cos_a double, cos_na double")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = pairs.rank_gaps(c)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+    rows = {(r["s1_id"], r["tgt_id"]): r for r in got.collect()}
+    r = rows["S1-1", "S2-2"]
+    assert (r["n_s1"], r["n_tgt"], r["rk1_n"], r["gap1_n"], r["rkt_n"], r["gapt_n"], r["rk1_a"], r["rkt_na"]) == (2, 2, 2, 0.0, 2, 0.25, 1, 1)
