@@ -159,3 +159,18 @@ def test_rank_gaps_shuffles_once_a_side(spark):
     rows = {(r["s1_id"], r["tgt_id"]): r for r in got.collect()}
     r = rows["S1-1", "S2-2"]
     assert (r["n_s1"], r["n_tgt"], r["rk1_n"], r["gap1_n"], r["rkt_n"], r["gapt_n"], r["rk1_a"], r["rkt_na"]) == (2, 2, 2, 0.0, 2, 0.25, 1, 1)
+
+
+def test_group_features_shuffle_once_a_side(spark):
+    """The windows of a record, also within its sources, take one shuffle, the windows of a target another."""
+    p = spark.createDataFrame([("S1-1", "S2-1", 0.75), ("S1-1", "S2-2", 0.5), ("S1-1", "S3-2", 0.625), ("S1-2", "S2-2", 0.75)], "s1_id string, tgt_id string, p double")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = pairs.group_features(p, "p")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+    r = next(r for r in got.collect() if (r["s1_id"], r["tgt_id"]) == ("S1-1", "S2-2"))
+    assert tuple(r)[2:] == (3, 2, 2, 0.75, 0.625, 0.25, 1.875, 2, 0.75, 0.75, 1, 2, -0.25)
