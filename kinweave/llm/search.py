@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import written
+from kinweave.llm.common import give_back, written
 
 K1, B = 1.2, 0.75
 #: A posting's weight is a multiple of 1 / UNIT: sums are exact, in whatever order and shard they are made.
@@ -28,6 +28,8 @@ SHARD_POSTINGS, SHARD_BYTES, BLOCK_ENTRIES = 6_000_000, 32 << 20, 2_000_000
 BLOCK, DENSE, DENSE_CELLS = 64, 1 / 16, 8_000_000
 #: Lists of fewer than LONG postings are added up for all queries of a group at once. A group has STEP queries, or more as long as it has GROUP_CELLS sums.
 LONG, STEP, GROUP_CELLS = 64, 16, 2_000_000
+#: Postings whose weights are worked out at once: their parts take ten times the room of a weight.
+WEIGHED = 1 << 18
 #: Shards, at least, of the first wave; each later wave has about as many as all before it.
 FIRST = 4
 _word = re.compile(r"[^\W_]+")
@@ -115,6 +117,10 @@ def build(docs: DataFrame, postings: int = SHARD_POSTINGS) -> DataFrame:
                     ids, lens, sizes, term, tf = [], array("i"), array("i"), array("i"), array("i")
         if ids:
             yield packed()
+        b = own = text = w = c = None
+        known, seen = {}, {}
+        ids, lens, sizes, term, tf = [], array("i"), array("i"), array("i"), array("i")
+        give_back()
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -138,11 +144,13 @@ class Shard:
         at = at.fill_null(-1).to_numpy(zero_copy_only=False)[mine]
         chosen = np.repeat(np.isin(np.arange(len(size)), mine), size)
         self.doc = np.frombuffer(row["docs"].as_buffer(), "<i4")[chosen]
-        tf = np.frombuffer(row["tfs"].as_buffer(), "<i4")[chosen].astype(float)
+        tf = np.frombuffer(row["tfs"].as_buffer(), "<i4")[chosen]
         norm = K1 * (1 - B + B * (np.frombuffer(row["lens"].as_buffer(), "<i4") / average))
         self.size = size = size[mine]
         self.off = np.concatenate([[0], np.cumsum(size)])
-        self.weight = np.rint(np.repeat(idf[at], size) * (tf * (K1 + 1) / (tf + norm[self.doc])) * UNIT).astype("<i4")
+        idf_of, self.weight = np.repeat(idf[at], size), np.empty(len(tf), "<i4")
+        for x in (slice(i, i + WEIGHED) for i in range(0, len(tf), WEIGHED)):
+            self.weight[x] = np.rint(idf_of[x] * (tf[x] * (K1 + 1) / (tf[x] + norm[self.doc[x]])) * UNIT)
         self.list_of = np.full(len(vocabulary), -1)
         self.list_of[at] = np.arange(len(mine))
         self.bound = np.maximum.reduceat(self.weight, self.off[:-1]).astype(float) if len(mine) else np.zeros(0)
@@ -340,6 +348,9 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, fl
             score, ids, null = map(np.concatenate, zip(*bests.values()))
             which = np.repeat(list(bests), [len(x[0]) for x in bests.values()])
             yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(ids, mask=null), pa.array(score / UNIT)], names=["number", "doc_id", "score"])
+        b = shard = known = old = new = by = stay = place = which = ids = null = score = None
+        bests.clear()
+        give_back()
 
     return index.mapInArrow(search, "number long, doc_id long, score double")
 

@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -715,6 +716,27 @@ def test_search_holds_equal_texts_once(spark):
         assert sorted(map(tuple, got), key=key) == sorted(brute_search(rows, queries, k), key=key)
 
 
+def test_search_workers_give_memory_back(spark):
+    """Workers outlive the tasks that make and search shards; what those had is free again."""
+    word = lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", j), F.lit(200_000)))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), word), " ").alias("text"))
+
+    def own(batches):
+        for _ in batches:
+            pass
+        with open("/proc/self/smaps_rollup") as f:
+            kb = sum(int(x.split()[1]) for x in f if x.startswith(("Pss_Anon", "Pss_Shmem")))
+        time.sleep(0.5)  # so that each worker has one of the tasks
+        yield pa.RecordBatch.from_arrays([pa.array([kb])], names=["kb"])
+
+    memory = lambda: max(r["kb"] for r in spark.range(0, 4, 1, 4).mapInArrow(own, "kb long").collect())
+    searched = lambda d, q: search.top_k(d, d.where(q).withColumnRenamed("doc_id", "query_id")).count()
+    searched(docs.where("doc_id < 40"), "true")  # what is imported
+    before = memory()
+    assert searched(docs, "doc_id % 1000 = 0") == 200
+    assert memory() - before < 20_000
+
+
 def test_search_skips_blocks_of_other_words():
     """A query's frequent words are multiplied only with blocks that can reach the threshold."""
     n = 1 << 10
