@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.memory import give_back as give_back
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset there is none: on a cluster no other folder is shared."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -62,12 +64,3 @@ def portions(b: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa
             start, held = i + 1, 0
     if start < b.num_rows:
         yield b.slice(start)
-
-
-def give_back() -> None:
-    """Free memory of this Python worker returns to the system: workers outlive their tasks, and all of an executor's count together."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass

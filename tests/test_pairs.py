@@ -5,11 +5,12 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import decision
-from kinweave.operators import cardinality, features, learn, pairs, rawform
+from kinweave.operators import cardinality, features, learn, pairs, rawform, retrieval
 from kinweave.plans import features as plans
 from kinweave.plans import registry
 from kinweave.sources import work
@@ -174,3 +175,25 @@ def test_group_features_shuffle_once_a_side(spark):
     assert plan.count("Exchange hashpartitioning") == 2
     r = next(r for r in got.collect() if (r["s1_id"], r["tgt_id"]) == ("S1-1", "S2-2"))
     assert tuple(r)[2:] == (3, 2, 2, 0.75, 0.625, 0.25, 1.875, 2, 0.75, 0.75, 1, 2, -0.25)
+
+
+def test_search_workers_give_memory_back(spark):
+    """Workers outlive the tasks that hold blocks of targets; what those had is free again."""
+    feature = lambda i: F.pmod(F.xxhash64("id", i), F.lit(40_000)).cast("string")
+    fs = F.transform(F.sequence(F.lit(1), F.lit(40)), feature)
+    v = spark.range(60_000).select(F.lit("x").alias("country"), F.col("id").cast("string").alias("entity_id"), fs.alias("fs"), F.transform(fs, lambda f: F.lit(0.1)).alias("ws"))
+
+    def own(batches):
+        for _ in batches:
+            pass
+        with open("/proc/self/smaps_rollup") as f:
+            kb = sum(int(x.split()[1]) for x in f if x.startswith(("Pss_Anon", "Pss_Shmem")))
+        time.sleep(0.5)  # so that each worker has one of the tasks
+        yield pa.RecordBatch.from_arrays([pa.array([kb])], names=["kb"])
+
+    memory = lambda: max(r["kb"] for r in spark.range(0, 4, 1, 4).mapInArrow(own, "kb long").collect())
+    searched = lambda n: retrieval.top_k(v.where("entity_id < 100"), v.where(f"entity_id < {n}"), 1).count()
+    searched(100)  # what is imported
+    before = memory()
+    assert searched(60_000) == 100
+    assert memory() - before < 20_000, (memory(), before)
