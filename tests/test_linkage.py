@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import decision, similarity, text
 from kinweave.operators import pairs, retrieval
+from kinweave.plans import registry
 from kinweave.sources import entities
 
 
@@ -120,3 +121,19 @@ def test_search_and_dots_in_blocks(spark):
     got = {(r["s1_id"], r["tgt_id"]): r["dot"] for r in retrieval.pair_dots(p, all_, most=40).collect()}
     assert got == {(a, b): sum(w * by[b].get(f, 0.0) for f, w in by[a].items()) for a, b in asked if b in by}
     assert {r["c"] for r in retrieval.pair_cosine(p.where("tgt_id = 'none'"), all_, "c").collect()} == {0.0}
+
+
+def test_names_that_share_only_frequent_grams(spark, tmp_path):
+    """Targets that over 1000 others are alike to are found: the search of names has no cap on what a gram may have."""
+    import duckdb
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfgh") for _ in range(rng.randrange(1, 5)))
+    rows = [(i, f"omega {word()} {word()}" if i >= 10 else ("omega" if i < 2 else f"omega {word()}"), "en", "src0" if i < 30 else f"src{1 + i % 2}") for i in range(2300)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    got = {tuple(r) for r in registry.QUERIES["blk_topk_name"](spark, d).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')")
+    want = set(c.sql(registry.ORACLE_SQL["blk_topk_name"]).fetchall())
+    assert got == want and Counter(a for a, *_ in got) == {f"S1-{i}": 6 for i in range(30)}
