@@ -1,3 +1,5 @@
+import shutil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -5,6 +7,8 @@ from pyspark.sql import functions as F
 from kinweave.functions.text import normal_name
 from kinweave.functions.translit import romanised, spellings
 from kinweave.operators import characters, features, learn, spelling
+from kinweave.operators.pairs import fold
+from kinweave.plans import features as plans
 
 WORDS = "s1_id string, tgt_id string, country string, a_name string, b_name string, a_address string, b_address string"
 
@@ -104,3 +108,43 @@ def test_reference_statistics(spark):
     of = lambda rows: spark.createDataFrame(rows, "country string, t string, df1 long")
     got = learn.reference_stats(of([("US", "a", 1)]), of([("US", "a", 9), ("US", "b", 2), ("FR", "c", 3)]))
     assert sorted(map(tuple, got.collect())) == [("FR", "c", 3), ("US", "a", 1)]
+
+
+def test_characters_trained_side_by_side(spark):
+    rng = np.random.default_rng(2)
+    rows = [([characters.START, *map(int, rng.integers(0, 9, 2 * characters.WIDTH))], int(i % 3 == 0), i % 7 == 0) for i in range(60)]
+    p = spark.createDataFrame(rows, "x array<int>, label int, held_out boolean").repartition(3).cache()
+    both = characters.train_all(p, (1, 2), 5, rounds=3)
+    for seed, m in zip((1, 2), both, strict=True):
+        one = characters.train(p, 5, rounds=3, seed=seed)
+        assert np.allclose(m.hidden, one.hidden) and np.allclose(m.out, one.out) and abs(m.last - one.last) < 1e-9
+    p.unpersist()
+
+
+def test_pair_scores_have_all_rounds_and_pairs(spark, tmp_path, monkeypatch):
+    """The models behind nn_pair_scores get as many rounds and as deep trees as the operators have, and learn from every pair of folds A and B."""
+    asked = []
+
+    def trees(p, columns, rounds=learn.train.__defaults__[0], depth=learn.train.__defaults__[1], **how):
+        asked.append((rounds, depth))
+        return real(p, columns, rounds=2, depth=2, **how)
+
+    def few(loss, starts, rounds):
+        asked.append(rounds)
+        return all_rounds(loss, starts, 1)
+
+    real, all_rounds = learn.train, characters.minima
+    monkeypatch.setattr(learn, "train", trees)
+    monkeypatch.setattr(characters, "minima", few)
+    d = str(tmp_path)
+    shutil.copy("/root/testdata/sf0.001/documents.parquet", d)
+    n = plans.QUERIES["nn_pair_scores"](spark, d).count()
+    assert asked == [(40, 5)] * 4 + [60]
+    pairs_ = plans._stage(spark, d)
+    assert n == pairs_.count()
+    known = pairs_.where(fold(F.col("s1_id")) != "H").select("s1_id", "tgt_id")
+    learned = plans.work.once(spark, "nn_training", d, lambda: None).select("s1_id", "tgt_id")
+    assert known.exceptAll(learned).isEmpty() and learned.exceptAll(known).isEmpty()
+    # also those that no earlier model is in doubt of
+    p = spark.createDataFrame([(f"S1-{i}", "S2-1", 0.001) for i in range(50)], "s1_id string, tgt_id string, p double")
+    assert characters.training_pairs(p, "p", easy=1.0).count() == p.where(fold(F.col("s1_id")) != "H").count()
